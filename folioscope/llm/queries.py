@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import exactdup, hostrules, mixing, sharding
+from folioscope.llm import chat, cotrain, exactdup, hostrules, mixing, packing, sharding, toxicity, warc
 from folioscope.llm.common import shared_path
 from folioscope.session import table
 
@@ -15,6 +15,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.capture_history(table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.formatted(turns.unionByName(extra))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exactdup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -31,11 +51,36 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op7_exact_dedup, op8_host_rules, op9_virtual_slots)}
+def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "kept")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_toxicity, op3_warc_history, op4_packing, op5_chat_tree, op7_exact_dedup, op8_host_rules, op9_virtual_slots, op10_co_training,
+)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERY_SQL = {
+    "op3_warc_history": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)', ['host', 'rest']) AS u FROM pages),
+        d AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS payload_digest, u FROM p),
+        h AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS head FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < head THEN head END AS refers_to,
+               array_to_string(list_reverse(string_split(lower(u.host), '.')), ',') || ')' || CASE WHEN starts_with(u.rest, '/') THEN u.rest ELSE '/' || u.rest END AS urlkey,
+               strftime(make_timestamp(page_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+        FROM h""",
+    "op5_chat_tree": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(role) + 4 + length(text) + length(text) - length(regexp_replace(text, '[\\<\[]', '', 'g')) + 7) AS BIGINT) AS formatted_chars
+        FROM c GROUP BY conv_id""",
     "op7_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_NORM} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
