@@ -127,7 +127,7 @@ def pack_group(capacity: int):
         at, n = sum_of_squares(lengths, capacity)
         if n > least:
             at, n = min((at, n), sum_of_squares(lengths, capacity, least), key=lambda x: x[1])
-        pdf["sequence_id"] = (pdf["bin_group"].astype("int64") << 32) + at
+        pdf["sequence_id"] = pdf["bin_group"].astype("int64") * (1 << 32) + at
         pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
         return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
