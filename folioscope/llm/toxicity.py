@@ -3,15 +3,16 @@
 Two zstandard dictionaries are trained apart, one on ordinary text and one on toxic text. A text is cut into
 windows of a few words; a window that compresses shorter with the toxic dictionary at hand than with the ordinary
 one alone is near to toxic text. What a document's windows save is calibrated to a probability by a logistic fit
-on labelled documents that trained neither dictionary.
+on labelled documents that didn't train the toxic dictionary.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ class ToxicitySpec:
     window_words: int = 8
     toxic_bytes: int = 8192
     ordinary_bytes: int = 16384
+    folds: int = 3
     threshold: float = 0.3
     seed: int = 7
 
@@ -81,21 +83,33 @@ def distinct_texts(texts: list[list[bytes]]) -> list[list[bytes]]:
     return out
 
 
-def toxic_samples(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int) -> list[bytes]:
-    """Training samples of the toxic dictionary: words that recur among toxic texts far more than among others.
+def surprise(n: int, expected: float) -> float:
+    """-log10 of the chance of n or more events where so many are expected (Poisson, bounded from above)."""
+    if n <= expected:
+        return 0.0
+    return (expected - n * math.log(expected) + math.lgamma(n + 1) + math.log(1 - expected / (n + 1))) / math.log(10)
 
-    A word needs 2% of the toxic texts (3 at least) and eight times its smoothed share of the ordinary ones.
-    The most telling come last, where zstandard reaches them with the shortest offsets."""
-    there, here = Counter(w for ws in toxic for w in set(ws)), Counter(w for ws in ordinary for w in set(ws))
-    least = max(3, 0.02 * len(toxic))
+
+def units(ws: list[bytes]) -> set[bytes]:
+    """What a dictionary may learn of a text: its words, and beginnings of 5 to 9 bytes with the blank before."""
+    whole = set(ws)
+    return {b" " + w + b" " for w in whole if len(w) >= 3} | {b" " + w[:k] for w in whole for k in range(4, 9) if len(w) > k}
+
+
+def toxic_samples(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int, least: float = 8.0) -> list[bytes]:
+    """Training samples of the toxic dictionary: words and beginnings found in more toxic texts than chance allows.
+
+    Chance is the smoothed share of ordinary texts, and `least` the decimal digits against it. The most telling
+    come last, where zstandard reaches them with the shortest offsets."""
+    there, here = Counter(u for ws in toxic for u in units(ws)), Counter(u for ws in ordinary for u in units(ws))
     rate = len(toxic) / max(1, len(ordinary))
-    telling = [(n, w) for w, n in there.items() if len(w) >= 3 and n >= least and n >= 8 * rate * (here[w] + 0.5)]
+    found = [(surprise(n, rate * (here[u] + 1)), u) for u, n in there.items() if n >= 3]
     out, used = [], 0
-    for _, w in sorted(telling, key=lambda x: (-x[0], x[1])):
-        if used + len(w) + 2 > size:
+    for s, u in sorted(found, key=lambda x: (-x[0], x[1])):
+        if s < least or used + len(u) > size:
             break
-        out.append(b" " + w + b" ")
-        used += len(w) + 2
+        out.append(u)
+        used += len(u)
     return out[::-1]
 
 
@@ -124,7 +138,7 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(), id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Trains on rows of labels outside the held-out fold. Rows labelled twice count as toxic if either says so."""
+    """Trains on labels outside the held-out fold. Rows labelled twice count as toxic if either says so."""
     known = labels.where((F.coalesce(fold(), F.lit(HELD_OUT_FOLD)) != HELD_OUT_FOLD) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = cut(known)
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
@@ -133,16 +147,25 @@ def fit(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(),
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()  # at most 2 * sample_docs rows
     rows = rows.sort_values(["doc_id", "text"]).sample(frac=1, random_state=spec.seed)
     of = {c: distinct_texts([words_of(t) for t in rows.loc[rows["toxic"] == c, "text"]]) for c in (0, 1)}
-    train, rest = {c: x[: 2 * len(x) // 3] for c, x in of.items()}, {c: x[2 * len(x) // 3 :] for c, x in of.items()}
-    plain = [b" ".join(ws[i : i + 3]) + b" " for ws in train[0] for i in range(0, len(ws), 3)]
+    plain = [b" ".join(ws[i : i + 3]) + b" " for ws in of[0] for i in range(0, len(ws), 3)]
     random.Random(spec.seed).shuffle(plain)
-    ordinary = trained(plain[:100_000], spec.ordinary_bytes)
-    toxic = b"".join(toxic_samples(train[1], train[0], spec.toxic_bytes))
-    model = ToxicityModel(ordinary, toxic, Logistic(np.zeros(7), np.ones(7), np.zeros(7), 0.0), spec.window_words)
-    x, y = model.features(rest[0] + rest[1]), np.array([0] * len(rest[0]) + [1] * len(rest[1]), dtype=float)
+    ordinary = trained(plain[:30_000], spec.ordinary_bytes)
+    flat = Logistic(np.zeros(7), np.ones(7), np.zeros(7), 0.0)
+
+    def model(keep) -> ToxicityModel:
+        toxic = toxic_samples(*[[ws for i, ws in enumerate(of[c]) if keep(i % spec.folds)] for c in (1, 0)], spec.toxic_bytes)
+        return ToxicityModel(ordinary, b"".join(toxic), flat, spec.window_words)
+
+    # each document's features for the calibration come from a toxic dictionary that other documents trained
+    x, y = [], []
+    for k in range(spec.folds):
+        part = {c: [ws for i, ws in enumerate(of[c]) if i % spec.folds == k] for c in (0, 1)}
+        x.append(model(lambda i, k=k: i != k).features(part[0] + part[1]))
+        y += [0.0] * len(part[0]) + [1.0] * len(part[1])
+    x, y = np.vstack(x), np.array(y)
     share = n.get(1, 0) / max(1, sum(n.values()))
-    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) if 0 < y.mean() < 1 else None
-    return ToxicityModel(ordinary, toxic, fit_logistic(x, y, weight), spec.window_words)
+    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) if len(y) and 0 < y.mean() < 1 else None
+    return replace(model(lambda i: True), calibration=fit_logistic(x, y, weight))
 
 
 def classify(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
