@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, cotrain, exactdup, hostrules, mixing, packing, sharding, toxicity, warc
+from folioscope.llm import chat, cotrain, exactdup, hostrules, mixing, neardup, packing, sharding, toxicity, warc
 from folioscope.llm.common import shared_path
 from folioscope.session import table
 
@@ -35,6 +35,11 @@ def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(turns.unionByName(extra))
 
 
+def op6_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_groups(docs, neardup.NearDupSpec(shingle_words=4))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exactdup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -57,7 +62,7 @@ def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_mixing, op2_toxicity, op3_warc_history, op4_packing, op5_chat_tree, op7_exact_dedup, op8_host_rules, op9_virtual_slots, op10_co_training,
+    op1_mixing, op2_toxicity, op3_warc_history, op4_packing, op5_chat_tree, op6_odd_sketch, op7_exact_dedup, op8_host_rules, op9_virtual_slots, op10_co_training,
 )}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
