@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from folioscope.session import cut, ship_package
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-KEPT_WORDS = 200_000
+KEPT_WORDS = 1_000_000
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # not the apostrophe, which can begin a pre-token of letters
+_BEYOND_LATIN = "\u0250"
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
@@ -34,7 +36,9 @@ class WordEncoder:
     """Token ids of whole texts as little-endian bytes. Words between blanks are encoded once and remembered.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a text's ids are those of its words in
-    order. At most KEPT_WORDS words are remembered at a time."""
+    order. A word of Latin letters and marks after them is two pre-tokens, in lower case; new letter words are
+    encoded many at a time as one text, whose pre-tokens are then these words. All other words are encoded alone.
+    At most about KEPT_WORDS words are remembered at a time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,22 +46,55 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def alone(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn_letters(self, words: list[str]) -> None:
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.asarray(e.ids, dtype="<u4").tobytes(), np.asarray(e.word_ids)
+            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) * 4
+            if len(ends) != len(part):
+                raise ValueError("letter words and pre-tokens differ")
+            start = 0
+            for w, end in zip(part, ends.tolist()):
+                self.parts[w] = ids[start:end]
+                start = end
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) + len(self.parts) + len(words) > KEPT_WORDS:
+            self.known.clear()
+            self.parts = {"": b""}
+        split, parts, letters = [], self.parts, set()
+        for w in words:
+            low = w.lower()
+            core = low.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < _BEYOND_LATIN):
+                split.append((w, core, low[len(core) :]))
+                if core not in parts:
+                    letters.add(core)
+            else:
+                self.known[w] = self.alone(w)
+        self.learn_letters(list(letters))
+        for w, core, tail in split:
+            if tail not in parts:
+                parts[tail] = self.alone(tail)
+            self.known[w] = parts[core] + parts[tail]
 
     def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
         # str.split also parts words at four control characters that the tokenizer takes as text
-        known, split = self.known, [re.split(r"[\t-\r ]+", t) if _CONTROL.search(t) else t.split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > KEPT_WORDS and known:
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.encode(part, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        split = [re.split(r"[\t-\r ]+", t) if _CONTROL.search(t) else t.split() for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + len(self.parts) + len(new) > KEPT_WORDS:
+            new = words
+        self.learn(new)
         for ws in split:
-            yield b"".join(map(known.__getitem__, ws))
+            yield b"".join(map(self.known.__getitem__, ws))
 
 
 def piece_reader(path: str, end_id: int, capacity: int):
