@@ -4,7 +4,7 @@ Everything is a column expression; a chunk's lines are an array."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import trimmed
@@ -136,11 +136,17 @@ def trim_trailing(text: Column) -> Column:
     return F.when(~s.rlike(ENDED) & (last > 0) & enough, F.regexp_extract(s, r"(?s)^.*[。！？]", 0)).otherwise(s)
 
 
-def citation_snippet(text: Column) -> Column:
-    """A chunk as an excerpt: empty if it is apparatus, else without noise lines and broken sentences at its ends."""
-    lines = F.split(F.regexp_replace(trimmed(F.coalesce(text, F.lit(""))), r"\r\n?", "\n"), "\n")
-    base = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), "\n")
-    kept = F.array_join(F.filter(F.split(base, "\n"), lambda x: ~is_noise_line(x)), "\n")
-    joined = F.regexp_replace(trimmed(kept), r"(?U)\s*\n\s*\n\s*", "\n\n")
-    cut = trimmed(trim_trailing(trim_leading(joined)))
-    return F.when(is_glossary_block(base) | is_toc_block(base) | is_annotation_block(base), "").when(is_incomplete(cut), "").otherwise(cut)
+def with_snippet(rows: DataFrame, text_col: str = "text", out: str = "snippet") -> DataFrame:
+    """Adds a chunk's excerpt: empty if it is apparatus, else without noise lines and broken sentences at its ends.
+
+    Each step is a column of its own, as the next one reads it many times."""
+    lines = F.split(F.regexp_replace(trimmed(F.coalesce(F.col(text_col), F.lit(""))), r"\r\n?", "\n"), "\n")
+    steps = rows.withColumn("__base", F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), "\n"))
+    base = F.col("__base")
+    steps = steps.withColumn("__block", is_glossary_block(base) | is_toc_block(base) | is_annotation_block(base))
+    steps = steps.withColumn("__kept", F.array_join(F.filter(F.split(base, "\n"), lambda x: ~is_noise_line(x)), "\n"))
+    steps = steps.withColumn("__kept", F.regexp_replace(trimmed(F.col("__kept")), r"(?U)\s*\n\s*\n\s*", "\n\n"))
+    steps = steps.withColumn("__kept", trim_leading(F.col("__kept")))
+    steps = steps.withColumn("__kept", trimmed(trim_trailing(F.col("__kept"))))
+    shown = F.when(F.col("__block") | is_incomplete(F.col("__kept")), "").otherwise(F.col("__kept"))
+    return steps.withColumn(out, shown).drop("__base", "__block", "__kept")

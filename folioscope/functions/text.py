@@ -35,11 +35,10 @@ def sentences(paragraph: Column) -> Column:
     """Sentences of one paragraph: up to each run of 。！？ first, then what is left at blanks after . ! or ?.
 
     A trailing part without such an end stays whole. A lookbehind splits without taking the mark."""
-    p = trimmed(paragraph)
-    wide = F.filter(F.transform(F.regexp_extract_all(p, F.lit("[^。！？]*[。！？]+"), F.lit(0)), trimmed), lambda s: s != "")
-    rest = trimmed(F.regexp_replace(p, "^(?s:.*[。！？])", ""))
-    pieces = F.when(rest == "", F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(rest, r"(?<=[.!?])\s+"), trimmed), lambda s: s != ""))
-    return F.when(p == "", F.array().cast("array<string>")).otherwise(F.concat(wide, pieces))
+    parts = F.split(trimmed(paragraph), r"(?<=[。！？])(?![。！？])")  # linear, where a search for each sentence isn't
+    latin = lambda x: F.split(x, r"(?<=[.!?])\s+")
+    each = F.flatten(F.transform(parts, lambda x: F.when(x.rlike("[。！？]$"), F.array(x)).otherwise(latin(trimmed(x)))))
+    return F.filter(F.transform(each, trimmed), lambda s: s != "")
 
 
 def document_sentences(text: Column) -> Column:
@@ -68,7 +67,7 @@ def fixed_chunks(text: Column, size: int = 900, overlap: int = 120) -> Column:
 
 # What follows is sequential: where a chunk ends depends on all that came before it in its document.
 
-_WIDE_SENTENCE = re.compile("[^。！？]*[。！？]+")
+_WIDE_END = re.compile("(?<=[。！？])(?![。！？])")
 _LATIN_END = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -81,9 +80,8 @@ def _paragraphs(text: str) -> list[str]:
 
 
 def _sentences(paragraph: str) -> list[str]:
-    wide = list(_WIDE_SENTENCE.finditer(paragraph))
-    rest = paragraph[wide[-1].end() :].strip() if wide else paragraph
-    return [s for s in [m[0].strip() for m in wide] + [x.strip() for x in _LATIN_END.split(rest)] if s]
+    *wide, rest = _WIDE_END.split(paragraph)
+    return [s for s in (x.strip() for x in [*wide, *([rest] if rest[-1:] in tuple("。！？") else _LATIN_END.split(rest.strip()))]) if s]
 
 
 def split_long(sentence: str, size: int, overlap: int) -> Iterator[str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import RetrievalConfig
 from folioscope.functions.analysis import positions, tokens
+from folioscope.session import cut
 
 K1, B = 1.2, 0.75  # fixed values of the ranking function
 
@@ -26,6 +27,11 @@ class LexicalIndex:
         return self.places.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
 
 
+def stored(index: LexicalIndex) -> LexicalIndex:
+    """The index with its tables written once, for the many readers of a corpus version."""
+    return LexicalIndex(cut(index.places), cut(index.lengths), cut(index.totals))
+
+
 def build_index(chunks: DataFrame, span_chars: int = 0) -> LexicalIndex:
     """Index of (chunk_id, text); only the first span_chars characters if that is positive. Built from live chunks, so nothing stale counts."""
     text = F.substring("text", 1, span_chars) if span_chars else F.col("text")
@@ -106,8 +112,9 @@ def like_fallback(chunks: DataFrame, terms: DataFrame, top_k: int, limit: int =
     from folioscope.operators.fusion import postprocess
 
     words = keyword_lists(terms)
-    hit = F.expr("exists(keywords, k -> lower(text) LIKE concat('%', lower(k), '%'))")
-    found = chunks.join(F.broadcast(words), hit)  # a set of queries, whose caller bounds it
+    like = "IF(k RLIKE '[%_]', low LIKE concat('%', lower(k), '%'), contains(low, lower(k)))"
+    low = chunks.withColumn("low", F.lower("text"))
+    found = low.join(F.broadcast(words), F.expr(f"exists(keywords, k -> {like})")).drop("low")  # a set of queries, whose caller bounds it
     first = ranked(found, max(1, min(2000, limit)), F.col("chunk_id"), name="scan_rank")
     count = F.expr("aggregate(keywords, 0L, (s, k) -> s + (length(text) - length(replace(text, k, ''))) div length(k))")
     scored = rerank(first.withColumn("bm25", -count.cast("double")), config)

@@ -241,8 +241,8 @@ def graph_edges(c: Corpus) -> DataFrame:
 
 @query(_KEY + _EDGES + """, prim AS (SELECT query_id, chunk_id, rank FROM rr WHERE rank <= 10),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS er FROM edges) WHERE er <= 2),
-    offered AS (SELECT p.query_id, b.dst AS chunk_id, min(p.rank * 1000 + b.er) AS at FROM prim p JOIN best b ON b.src = p.chunk_id WHERE NOT EXISTS (SELECT 1 FROM prim x WHERE x.query_id = p.query_id AND x.chunk_id = b.dst) GROUP BY ALL),
-    extra AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at) AS n FROM offered) WHERE n <= 2), used AS (SELECT query_id, count(*) AS g FROM extra GROUP BY query_id),
+    offered AS (SELECT p.query_id, b.dst AS chunk_id, min(p.rank * 1000 + b.er) AS found_at FROM prim p JOIN best b ON b.src = p.chunk_id WHERE NOT EXISTS (SELECT 1 FROM prim x WHERE x.query_id = p.query_id AND x.chunk_id = b.dst) GROUP BY ALL),
+    extra AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY found_at) AS n FROM offered) WHERE n <= 2), used AS (SELECT query_id, count(*) AS g FROM extra GROUP BY query_id),
     rows AS (SELECT query_id, chunk_id, 0 AS extra, rank AS n FROM prim LEFT JOIN used USING (query_id) WHERE rank <= greatest(0, 10 - coalesce(g, 0)) UNION ALL SELECT query_id, chunk_id, 1, n FROM extra)
     SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY extra, n) AS INTEGER) AS rank, extra = 1 AS extra FROM rows""")
 def graph_expand(c: Corpus) -> DataFrame:
@@ -269,7 +269,7 @@ _NEWEST = "newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q
 @query(f"WITH {_ENTRIES}, {_NEWEST}, asked AS (SELECT entry_id AS query_id, query_hash FROM entries) SELECT query_id, entry_id, answer_text, 'exact' AS kind FROM asked JOIN newest USING (query_hash)")
 def cache_exact(c: Corpus) -> DataFrame:
     entries = _entries(c)
-    asked = entries.select(F.col("entry_id").alias("query_id"), "model", F.concat(F.lit("  "), F.upper("query_text"), F.lit("\n ")).alias("text"))
+    asked = entries.select(F.col("entry_id").alias("query_id"), "model", F.concat(F.lit("  "), F.lower("query_text"), F.lit("\n ")).alias("text"))
     return cache.lookup_exact(asked, entries)
 
 
@@ -348,12 +348,12 @@ def batch_lookup(c: Corpus) -> DataFrame:
     return ingest.fetch_in_order(ids, c.chunks.select("chunk_id", "path", "text")).select("query_id", "pos", "chunk_id", "path")
 
 
-@query(base() + thinned("rr", 3) + " SELECT query_id, '引用' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || path, chr(10) ORDER BY rank) AS refs FROM final GROUP BY query_id")
+@query(base(pool=12) + thinned("rr", 3) + " SELECT query_id, '引用' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || path, chr(10) ORDER BY rank) AS refs FROM final GROUP BY query_id")
 def reference_list(c: Corpus) -> DataFrame:
     return retrieve.reference_list(lexical.fts_reranked(c.index, c.chunks, c.terms, 3))
 
 
-@query(base() + thinned("rr", 3) + """, s AS (SELECT *, replace(text, chr(10), ' ') AS flat FROM final)
+@query(base(pool=12) + thinned("rr", 3) + """, s AS (SELECT *, replace(text, chr(10), ' ') AS flat FROM final)
     SELECT query_id, '问题：' || any_value(q.text) || chr(10) || chr(10) || '已检索到以下高相关资料片段：' || chr(10) || string_agg('[' || rank || '] ' || substr(flat, 1, 220) || CASE WHEN length(flat) > 220 THEN '...' ELSE '' END, chr(10) ORDER BY rank)
         || chr(10) || chr(10) || '引用：' || chr(10) || string_agg('[' || rank || '] ' || path || '（chunk=' || chunk_index || '）', chr(10) ORDER BY rank) AS answer FROM s JOIN questions q USING (query_id) GROUP BY query_id""")
 def fallback_answer(c: Corpus) -> DataFrame:

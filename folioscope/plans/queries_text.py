@@ -116,7 +116,7 @@ def glossary_blocks(c: Corpus) -> DataFrame:
 
 @query()
 def citation_clean(c: Corpus) -> DataFrame:
-    return c.table("documents").select("doc_id", citations.citation_snippet(F.col("text")).alias("snippet"))
+    return citations.with_snippet(c.table("documents").select("doc_id", "text")).select("doc_id", "snippet")
 
 
 @query(rf"""SELECT doc_id, regexp_replace(text, '\s+$', '') || chr(10) || 'tail' AS body FROM documents""")

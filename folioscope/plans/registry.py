@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.analysis import query_terms
 from folioscope.operators import lexical
-from folioscope.session import ship_package, table
+from folioscope.session import cut, ship_package, table
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,7 +49,7 @@ class Corpus:
 
     @cached_property
     def index(self) -> lexical.LexicalIndex:
-        return lexical.build_index(self.table("documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+        return lexical.stored(lexical.build_index(self.table("documents").select(F.col("doc_id").alias("chunk_id"), "text")))
 
     @cached_property
     def frequencies(self) -> DataFrame:
@@ -66,7 +66,7 @@ class Corpus:
         return self.table("documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text").join(vectors, "query_id")
 
     def terms_of(self, questions: DataFrame) -> DataFrame:
-        return query_terms(questions, self.frequencies, self.index.totals)
+        return cut(query_terms(questions, self.frequencies, self.index.totals))
 
     @cached_property
     def terms(self) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.config import RetrievalConfig
-from folioscope.functions.citations import citation_snippet
+from folioscope.functions.citations import with_snippet
 from folioscope.operators import fusion, lexical, vector
 from folioscope.operators.graph import graph_expand
 from folioscope.operators.ingest import in_scope
+from folioscope.session import cut
 
 
 def hybrid(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, terms: DataFrame, top_k: int, root: str | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
@@ -37,7 +38,8 @@ def hybrid(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame, q
 
 def displayable(rows: DataFrame, top_k: int) -> DataFrame:
     """The first top_k rows of each query whose excerpt isn't empty."""
-    return fusion.renumbered(rows.where(citation_snippet(F.col("text")) != ""), top_k)
+    shown = cut(with_snippet(rows))  # else the filter, pushed down, would copy the excerpt's steps into each other
+    return fusion.renumbered(shown.where("snippet <> ''").drop("snippet"), top_k)
 
 
 def retrieve(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, terms: DataFrame, top_k: int = 4, root: str | None = None, edges: DataFrame | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
@@ -48,9 +50,10 @@ def retrieve(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame,
     columns = ["query_id", "chunk_id", "path", "text", "rank"]
     scope = lambda d: d if root is None else fusion.renumbered(d.where(in_scope(F.col("path"), root)))
     first = hybrid(index, chunks, vectors, queries, terms, top_k, root, config).select(*columns).withColumn("source", F.lit("hybrid"))
+    first = cut(first)  # the next branches ask which queries have results
     missing = lambda d, done: d.join(done.select("query_id").distinct(), "query_id", "left_anti")
     second = lexical.fts_reranked(index, chunks, missing(terms, first), cap, config).select(*columns).withColumn("source", F.lit("fts"))
-    shown = displayable(scope(first.unionByName(second)), top_k)
+    shown = cut(displayable(scope(first.unionByName(second)), top_k))
     third = lexical.like_fallback(chunks, missing(terms, shown), cap, 120 if root is None else min(800, max(120, 40 * top_k)), config).select(*columns).withColumn("source", F.lit("like"))
     out = shown.unionByName(displayable(scope(third), top_k)).select("query_id", "chunk_id", "rank", "source")
     if edges is None or not config.graph:
@@ -83,7 +86,7 @@ def reference_list(rows: DataFrame) -> DataFrame:
 
 def prompt_blocks(rows: DataFrame, context_chars: int = 2400) -> DataFrame:
     """(query_id, blocks): the numbered sources of a prompt; excerpts are cleaned, cut and left out if empty."""
-    shown = rows.withColumn("excerpt", F.substring(citation_snippet(F.col("text")), 1, context_chars)).where("excerpt <> ''")
+    shown = cut(with_snippet(rows)).withColumn("excerpt", F.substring("snippet", 1, context_chars)).where("excerpt <> ''")
     shown = shown.withColumn("no", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
     head = F.concat(F.lit("["), F.col("no").cast("string"), F.lit("] 来源资料名称: "), F.element_at(F.split("path", "/"), -1), F.lit(" | 片段序号: "), F.col("chunk_index").cast("string"), F.lit("\n"), F.col("excerpt"))
     listed = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("no", head.alias("block")))).alias("l"))
