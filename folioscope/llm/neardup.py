@@ -5,11 +5,9 @@ candidates; the samples folded into a bitmap of parities (an odd sketch) tell by
 bitmaps' XOR how alike two texts are, sharply so where they are much alike. Candidates that pass are confirmed on
 their full shingle sets, and confirmed links are contracted to components.
 
-Texts with equal sets are one node from the start. In a bucket all are first compared with its hub, the member
-that shares most buckets with others: an original is one, where its copies are less like each other than like it.
-That joins most true groups with as many comparisons as members. A second hub is taken for what isn't joined to
-the first; only members that are still in different components are then compared with each other, in blocks that
-keep what doesn't pass to themselves.
+Texts with equal sets are one node from the start. In a bucket all are first compared with its smallest member,
+which joins most true groups with as many comparisons as members; only members that are still in different
+components are then compared with each other, in blocks that keep what doesn't pass to themselves.
 """
 
 from __future__ import annotations
@@ -174,15 +172,19 @@ def block_pairs(spec: NearDupSpec):
 def contract(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b): the smallest node that it reaches.
 
-    Every round each node joins its smallest neighbour and, one step on, that one's; edges within a component
-    drop out, so rounds grow with the logarithm of a component's size."""
+    Every round each node joins its smallest neighbour, the trees that this makes shrink to their roots, and edges
+    within a tree drop out; so rounds grow with the logarithm of a component's size."""
     left = cut(edges.select("a", "b").where("a <> b").distinct())
     labels = None
     while True:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
-        further = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        up = cut(up.join(further, "up", "left").select("node", F.coalesce("next", "up").alias("up")))
+        while True:  # to the root of each tree: its depth halves every time
+            further = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
+            stepped = cut(up.join(further, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")))
+            up = stepped.drop("moved")
+            if stepped.where("moved").isEmpty():
+                break
         if labels is None:
             labels = up.select("node", F.col("up").alias("component"))
         else:
@@ -205,16 +207,11 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, "a", labels, "ca"), "b", labels, "cb").where("ca <> cb").select("a", "b")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their component, of the buckets whose members aren't all in one."""
-    placed = cut(_labelled(members, "node", labels, "component"))
-    split = cut(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
-    return cut(placed.join(split, "key"))
-
-
 def _across(members: DataFrame, labels: DataFrame, tried: DataFrame, sketches: DataFrame, spec: NearDupSpec) -> DataFrame:
     """(a, b, odd, cb): pairs of a bucket with near sketches, not yet tried and in different components."""
-    here = _open(members, labels).join(sketches, "node")
+    placed = cut(_labelled(members, "node", labels, "component"))
+    split = cut(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
+    here = placed.join(split, "key").join(sketches, "node")
     blocks = F.ceil(F.col("n") / spec.block).cast("int")
     here = here.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -240,9 +237,8 @@ def near_groups(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), id_col: str
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = written(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n"))
-    members = cut(keys.join(shared, "key"))
-    members = cut(members.join(members.groupBy("node").agg(F.sum("n").alias("degree")), "node"))  # key, node, n, degree
+    hubs = cut(keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("hub <> last").drop("last"))
+    members = cut(keys.join(hubs, "key"))
 
     wanted = cut(members.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node"))
     sets = written(wanted.join(slim.withColumnRenamed("doc_id", "node"), "node").mapInPandas(set_reader(spec.shingle_words), "node long, shingles array<long>"), "near-sets")
@@ -255,28 +251,12 @@ def near_groups(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), id_col: str
         shared = F.size(F.array_intersect("sa", "sb")).cast("long")
         return both.where(100 * shared >= spec.percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
-    def star(placed: DataFrame) -> DataFrame:
-        """(a, b) of every member of a bucket and its hub, where their components differ."""
-        hubs = cut(placed.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("hub"), "component")).alias("h")).select("key", (-F.col("h.hub")).alias("hub"), F.col("h.component").alias("hub_component")))
-        met = placed.join(hubs, "key").where("component <> hub_component")
-        return cut(met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
-
-    def near(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb")), "b")
-        return cut(both.where(odd_bits(F.col("ka"), F.col("kb")) <= most).select("a", "b"))
-
-    tried = star(members.withColumn("component", F.col("node")))
-    links = cut(confirmed(near(tried)))
+    star = cut(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    near = star.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("ka")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("kb")), "b")
+    links = cut(confirmed(cut(near.where(odd_bits(F.col("ka"), F.col("kb")) <= most).select("a", "b"))))
     labels = contract(links)
-    # what the hub's component has not taken in, with a hub of its own
-    again = _open(members, labels)
-    first = again.groupBy("key").agg(F.max_by("component", F.struct("degree", -F.col("node"))).alias("joined"))
-    left_out = again.join(cut(first), "key").where("component <> joined").drop("joined")
-    second = star(left_out)
-    tried = cut(tried.unionByName(second).distinct())
-    links = cut(links.unionByName(confirmed(near(second))))
-    labels = contract(links)
-    rest = _across(members, labels, tried, sketches, spec)
+
+    rest = _across(members, labels, star, sketches, spec)
     if not rest.isEmpty():
         # of each node and component that it might join the likeliest partner first, then whoever is still apart
         best = cut(rest.groupBy("a", "cb").agg(F.min(F.struct("odd", "b")).alias("best")).select("a", F.col("best.b").alias("b")).distinct())

@@ -147,4 +147,8 @@ def test_sum_of_squares_places_every_piece_where_the_counts_stay_smallest():
             assert b in gaps
             assert cost(gaps | {b: gaps[b] - s}) == min(cost(gaps | {x: gaps[x] - s}) for x in fits)
         gaps[b] = gaps.get(b, capacity) - s
-    assert n <= -(-int(lengths.sum()) // capacity) + 2 and min(gaps.values()) >= 0
+    best_fit: list[int] = []
+    for s in lengths.tolist():
+        i = min((i for i, g in enumerate(best_fit) if g >= s), key=lambda i: best_fit[i], default=len(best_fit))
+        best_fit[i:] = [best_fit[i] - s, *best_fit[i + 1 :]] if i < len(best_fit) else [capacity - s]
+    assert n == len(set(at.tolist())) <= len(best_fit) and min(gaps.values()) >= 0
