@@ -119,6 +119,7 @@ class ToxicityModel:
     toxic: bytes
     calibration: Logistic
     window_words: int
+    nothing: float = 0.0  # the score of texts none of whose windows saves a byte
 
     def features(self, texts: Iterable[list[bytes]]) -> np.ndarray:
         """Per text, of the bytes that its windows save: the most, the mean of the three most, sum and mean per window, share of windows that save 2 or more, and the log of the windows."""
@@ -134,7 +135,7 @@ class ToxicityModel:
 
     def score(self, texts: Iterable[list[bytes]]) -> np.ndarray:
         x = self.features(texts)
-        return self.calibration(x) if len(x) else np.zeros(0)
+        return np.where(x[:, 0] > 0, self.calibration(x), self.nothing) if len(x) else np.zeros(0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(), id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -165,14 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(),
     x, y = np.vstack(x), np.array(y)
     share = n.get(1, 0) / max(1, sum(n.values()))
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) if len(y) and 0 < y.mean() < 1 else None
-    return replace(model(lambda i: True), calibration=fit_logistic(x, y, weight))
+    # without evidence, the share of toxic texts among those of the sample without any; the fit would extrapolate
+    w = np.where(x[:, 0] > 0, 0.0, 1.0 if weight is None else weight)
+    nothing = ((w * y).sum() + share) / (w.sum() + 1)
+    return replace(model(lambda i: True), calibration=fit_logistic(x, y, weight), nothing=float(nothing))
 
 
 def classify(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted, one row per row of docs; whole texts are scored.
 
-    Null and empty texts score as a text whose one window saves nothing. Without labels of both classes all
-    scores are the share of toxic ones."""
+    Null and empty texts score as texts whose windows save nothing: the share of toxic ones among such. Without
+    labels of both classes all scores are the share of toxic ones."""
     ship_package(docs.sparkSession)
     model = fit(docs, labels, spec, id_col, text_col)
 
