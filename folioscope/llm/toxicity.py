@@ -1,16 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained apart, one on ordinary text and one on toxic text. A text is cut into
-windows of a few words; a window that compresses shorter with the toxic dictionary at hand than with the ordinary
-one alone is near to toxic text. What a document's windows save is calibrated to a probability by a logistic fit
-on labelled documents that didn't train the toxic dictionary.
+Two zstandard dictionaries are trained apart, one on toxic and one on ordinary text. Trained on raw windows both would
+mostly hold what the classes share, so the trainer is shown the shared part first (a dictionary of windows of both
+classes, which both compressors begin with) and then, for each class, only those bytes of its texts that the other class
+doesn't have as often. A text is cut into windows of a few words; each window's length after the ordinary dictionary less
+that after the toxic one is what toxicity saves. Which savings make a document toxic is calibrated across folds: every
+calibrating document is measured by dictionaries that other documents trained.
 """
 
 from __future__ import annotations
 
 import math
-import random
-from collections import Counter
+import pickle
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
@@ -26,13 +27,14 @@ from folioscope.session import cut, ship_package
 
 @dataclass(frozen=True)
 class ToxicitySpec:
-    """The fit reads at most sample_docs labelled documents of each class, of at most sample_bytes bytes each."""
+    """The fit reads at most sample_docs labelled documents of each class; of a longer document, sample_words words in
+    ten pieces spread evenly over it. Copies don't teach: see distinct_texts."""
 
     sample_docs: int = 2500
-    sample_bytes: int = 100_000
-    window_words: int = 8
-    toxic_bytes: int = 8192
-    ordinary_bytes: int = 16384
+    sample_words: int = 4000
+    window_words: int = 4
+    shared_bytes: int = 1024
+    own_bytes: int = 1024
     folds: int = 3
     threshold: float = 0.3
     seed: int = 7
@@ -54,25 +56,29 @@ def windows(words: list[bytes], size: int) -> list[bytes]:
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    """For short inputs after the given text; the tables are large enough that no part of it is forgotten."""
+    """For short inputs after the given text, parsed for the least length; the tables are large enough that no part is forgotten."""
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=4, target_length=32, strategy=zstandard.STRATEGY_GREEDY,
+        window_log=17, hash_log=13, chain_log=13, search_log=5, min_match=3, target_length=32, strategy=zstandard.STRATEGY_BTOPT,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     held = zstandard.ZstdCompressionDict(content + LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(compression_params=params, dict_data=held)
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """zstandard's trained dictionary of the samples; where they are too few for its trainer, the samples themselves."""
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """zstandard's trained dictionary of the samples, exactly `size` bytes with zeros before it; zeros alone where its trainer
+    finds too little to learn from (a class without habits of its own)."""
+    samples = [x for x in samples if len(x) >= 8]
+    if len(samples) < 8:
+        return bytes(size)
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=GRAM).as_bytes().rjust(size, b"\0")
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return bytes(size)
 
 
 def distinct_texts(texts: list[list[bytes]]) -> list[list[bytes]]:
-    """Texts of which hardly any three words in a row stood in one before; else copies would pass for habits of speech."""
+    """Texts of which hardly any three words in a row (a tenth at most) stood in one before; else copies would pass for habits of speech."""
     seen: set[int] = set()
     out = []
     for ws in texts:
@@ -90,93 +96,150 @@ def surprise(n: int, expected: float) -> float:
     return (expected - n * math.log(expected) + math.lgamma(n + 1) + math.log(1 - expected / (n + 1))) / math.log(10)
 
 
-def units(ws: list[bytes]) -> set[bytes]:
-    """What a dictionary may learn of a text: its words, and beginnings of 5 to 9 bytes with the blank before."""
-    whole = set(ws)
-    return {b" " + w + b" " for w in whole if len(w) >= 3} | {b" " + w[:k] for w in whole for k in range(4, 9) if len(w) > k}
+GRAM = 6  # bytes; what the trainer counts, too
 
 
-def toxic_samples(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int, least: float = 8.0) -> list[bytes]:
-    """Training samples of the toxic dictionary: words and beginnings found in more toxic texts than chance allows.
+def _spelled(ws: list[bytes]) -> bytes:
+    return b"".join(b" " + w + b" " for w in ws)
 
-    Chance is the smoothed share of ordinary texts, and `least` the decimal digits against it. The most telling
-    come last, where zstandard reaches them with the shortest offsets."""
-    there, here = Counter(u for ws in toxic for u in units(ws)), Counter(u for ws in ordinary for u in units(ws))
-    rate = len(toxic) / max(1, len(ordinary))
-    found = [(surprise(n, rate * (here[u] + 1)), u) for u, n in there.items() if n >= 3]
-    out, used = [], 0
-    for s, u in sorted(found, key=lambda x: (-x[0], x[1])):
-        if s < least or used + len(u) > size:
-            break
-        out.append(u)
-        used += len(u)
-    return out[::-1]
+
+def grams(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each run of GRAM bytes within a word and the blanks round it, as a number, and its place in the spelled words."""
+    raw = np.frombuffer(_spelled(ws), dtype=np.uint8).astype(np.uint64)
+    n = len(raw) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    g = np.zeros(n, dtype=np.uint64)
+    for i in range(GRAM):
+        g = (g << np.uint64(8)) | raw[i : n + i]
+    gaps = np.concatenate([[0], np.cumsum((raw[:-1] == 32) & (raw[1:] == 32))])
+    inside = gaps[:n] == gaps[GRAM - 1 :]
+    return g[inside], np.flatnonzero(inside)
+
+
+def document_counts(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    each = [np.unique(grams(ws)[0]) for ws in texts]
+    return np.unique(np.concatenate(each) if each else np.zeros(0, dtype=np.uint64), return_counts=True)
+
+
+def own_grams(texts: list[list[bytes]], others: list[list[bytes]], least: float = 8.0) -> np.ndarray:
+    """Grams in more of the texts than the others' smoothed share allows, by `least` decimal digits against chance."""
+    (here, n), (there, m) = document_counts(texts), document_counts(others)
+    at = np.searchsorted(there, here)
+    known = at < len(there)
+    known[known] = there[at[known]] == here[known]
+    expected = np.ones(len(here))
+    expected[known] += m[at[known]]
+    expected *= len(texts) / max(1, len(others))
+    some = np.flatnonzero((n >= 3) & (n > expected))
+    return here[[i for i in some.tolist() if surprise(int(n[i]), float(expected[i])) >= least]] if len(some) else here[:0]
+
+
+def stretches(ws: list[bytes], keep: np.ndarray) -> bytes:
+    """The bytes of a text that grams of `keep` cover."""
+    g, place = grams(ws)
+    covered = np.zeros(sum(map(len, ws)) + 2 * len(ws), dtype=bool)
+    for p in place[np.isin(g, keep)].tolist():
+        covered[p : p + GRAM] = True
+    return np.frombuffer(_spelled(ws), dtype=np.uint8)[covered].tobytes()
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    ordinary: bytes
+    ordinary: bytes  # the shared dictionary and that of ordinary text
     toxic: bytes
     calibration: Logistic
     window_words: int
     nothing: float = 0.0  # the score of texts none of whose windows saves a byte
 
-    def features(self, texts: Iterable[list[bytes]]) -> np.ndarray:
-        """Per text, of the bytes that its windows save: the most, the mean of the three most, sum and mean per window, share of windows that save 2 or more, and the log of the windows."""
-        plain, both = compressor(self.ordinary).compress, compressor(self.toxic + self.ordinary).compress
-        out = []
+    def savings(self, texts: Iterable[list[bytes]]) -> Iterable[np.ndarray]:
+        """Per text, how much longer each window is after the ordinary dictionary than after the toxic one."""
+        plain, toxic = compressor(self.ordinary).compress, compressor(self.toxic).compress
         for ws in texts:
-            saved = sorted((len(plain(w)) - len(both(w)) for w in windows(ws, self.window_words)), reverse=True) or [0]
-            n = len(saved)
-            top = saved[:3]
-            gain = sum(x for x in saved if x >= 2)
-            out.append((saved[0], sum(top) / 3, np.log1p(gain), gain / n, sum(x >= 2 for x in saved) / n, sum(x >= 3 for x in saved), np.log(n)))
-        return np.array(out, dtype=float).reshape(len(out), 7)
+            yield np.array([len(plain(w)) - len(toxic(w)) for w in windows(ws, self.window_words)] or [0])
+
+    def features(self, texts: Iterable[list[bytes]]) -> np.ndarray:
+        """Per text the largest saving, the mean of the three largest, the log of how many are 3 or more, and the log of the windows."""
+        rows = [(s.max(), np.sort(s)[-3:].sum() / 3, np.log1p((s >= 3).sum()), np.log(len(s))) for s in self.savings(texts)]
+        return np.array(rows, dtype=float).reshape(len(rows), 4)
 
     def score(self, texts: Iterable[list[bytes]]) -> np.ndarray:
         x = self.features(texts)
         return np.where(x[:, 0] > 0, self.calibration(x), self.nothing) if len(x) else np.zeros(0)
 
 
+def train(toxic: list[list[bytes]], ordinary: list[list[bytes]], share: float, spec: ToxicitySpec) -> ToxicityModel:
+    """share: of toxic texts among all, which the calibration is weighted to."""
+    flat = Logistic(np.zeros(4), np.ones(4), np.zeros(4), 0.0)
+
+    def model(t: list[list[bytes]], o: list[list[bytes]]) -> ToxicityModel:
+        shown = [x for pair in zip(t, o) for x in pair]  # as many texts of either class
+        shared = trained([b" ".join(ws[i : i + 8]) + b" " for ws in shown for i in range(0, len(ws), 8)], spec.shared_bytes, 64)
+        own = [trained([stretches(ws, keep) for ws in mine], spec.own_bytes, 16) for mine, keep in ((t, own_grams(t, o)), (o, own_grams(o, t)))]
+        return ToxicityModel(shared + own[1], shared + own[0], flat, spec.window_words)
+
+    x, y = [], []
+    for k in range(spec.folds):
+        rest = [[ws for i, ws in enumerate(c) if i % spec.folds != k] for c in (toxic, ordinary)]
+        part = [[ws for i, ws in enumerate(c) if i % spec.folds == k] for c in (toxic, ordinary)]
+        x.append(model(*rest).features(part[0] + part[1]))
+        y += [1.0] * len(part[0]) + [0.0] * len(part[1])
+    x, y = np.vstack(x), np.array(y)
+    both = len(y) and 0 < y.mean() < 1
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) if both else np.ones(len(y))
+    # without evidence, the share of toxic texts among those of the sample without any; the fit would extrapolate
+    w = np.where(x[:, 0] > 0, 0.0, weight)
+    return replace(model(toxic, ordinary), calibration=fit_logistic(x, y, weight), nothing=float(((w * y).sum() + share) / (w.sum() + 1)))
+
+
+def _pieces(spec: ToxicitySpec):
+    """For mapInPandas over (doc_id, text, toxic): the words that the fit reads."""
+
+    def read(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for text in pdf["text"]:
+                ws = words_of(text)
+                if len(ws) > spec.sample_words:
+                    step = spec.sample_words // 10
+                    ws = [w for at in np.linspace(0, len(ws) - step, 10).astype(int).tolist() for w in ws[at : at + step]]
+                out.append(b" ".join(ws))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": out})
+
+    return read
+
+
+def _trainer(spec: ToxicitySpec, share: float):
+    """For mapInPandas in one task over the sample's words: the pickled model."""
+
+    def read(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        rows = sorted({(int(d), int(t), w) for pdf in it for d, t, w in zip(pdf["doc_id"], pdf["toxic"], pdf["words"])}, key=lambda r: (r[2], r[0]))
+        np.random.default_rng(spec.seed).shuffle(rows)
+        of = {c: distinct_texts([w.split() for _, t, w in rows if t == c]) for c in (0, 1)}
+        yield pd.DataFrame({"model": [pickle.dumps(train(of[1], of[0], share, spec))]})
+
+    return read
+
+
 def fit(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(), id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Trains on labels outside the held-out fold. Rows labelled twice count as toxic if either says so."""
+    """Trains in one task on labels outside the held-out fold. Rows labelled twice count as toxic if either says so."""
     known = labels.where((F.coalesce(fold(), F.lit(HELD_OUT_FOLD)) != HELD_OUT_FOLD) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = cut(known)
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     chosen = hashed_sample(known.where("toxic = 1"), spec.sample_docs, spec.seed).unionByName(hashed_sample(known.where("toxic = 0"), spec.sample_docs, spec.seed))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= spec.sample_bytes)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()  # at most 2 * sample_docs rows
-    rows = rows.sort_values(["doc_id", "text"]).sample(frac=1, random_state=spec.seed)
-    of = {c: distinct_texts([words_of(t) for t in rows.loc[rows["toxic"] == c, "text"]]) for c in (0, 1)}
-    plain = [b" ".join(ws[i : i + 3]) + b" " for ws in of[0] for i in range(0, len(ws), 3)]
-    random.Random(spec.seed).shuffle(plain)
-    ordinary = trained(plain[:30_000], spec.ordinary_bytes)
-    flat = Logistic(np.zeros(7), np.ones(7), np.zeros(7), 0.0)
-
-    def model(keep) -> ToxicityModel:
-        toxic = toxic_samples(*[[ws for i, ws in enumerate(of[c]) if keep(i % spec.folds)] for c in (1, 0)], spec.toxic_bytes)
-        return ToxicityModel(ordinary, b"".join(toxic), flat, spec.window_words)
-
-    # each document's features for the calibration come from a toxic dictionary that other documents trained
-    x, y = [], []
-    for k in range(spec.folds):
-        part = {c: [ws for i, ws in enumerate(of[c]) if i % spec.folds == k] for c in (0, 1)}
-        x.append(model(lambda i, k=k: i != k).features(part[0] + part[1]))
-        y += [0.0] * len(part[0]) + [1.0] * len(part[1])
-    x, y = np.vstack(x), np.array(y)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(cut(chosen)), "doc_id")  # at most 2 * sample_docs rows
+    words = texts.select("doc_id", "text", "toxic").mapInPandas(_pieces(spec), "doc_id long, toxic int, words binary")
     share = n.get(1, 0) / max(1, sum(n.values()))
-    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) if len(y) and 0 < y.mean() < 1 else None
-    # without evidence, the share of toxic texts among those of the sample without any; the fit would extrapolate
-    w = np.where(x[:, 0] > 0, 0.0, 1.0 if weight is None else weight)
-    nothing = ((w * y).sum() + share) / (w.sum() + 1)
-    return replace(model(lambda i: True), calibration=fit_logistic(x, y, weight), nothing=float(nothing))
+    return pickle.loads(words.repartition(1).mapInPandas(_trainer(spec, share), "model binary").first()["model"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted, one row per row of docs; whole texts are scored.
 
     Null and empty texts score as texts whose windows save nothing: the share of toxic ones among such. Without
-    labels of both classes all scores are the share of toxic ones."""
+    labels of both classes all scores are the share of toxic ones. Very long texts are scored whole, a window at a
+    time; repeated rows score alike; of docs only id and text are read, so no other column's name can clash. An empty
+    table gives an empty result."""
     ship_package(docs.sparkSession)
     model = fit(docs, labels, spec, id_col, text_col)
 
