@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,9 +24,27 @@ from folioscope.session import cut, ship_package
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 KEPT_WORDS = 1_000_000
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # not the apostrophe, which can begin a pre-token of letters
-_BEYOND_LATIN = "\u0250"
 _CONTROL = re.compile("[\x1c-\x1f]")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+_SPECIAL = "<|"  # fixed value: how the vocabulary's special tokens begin
+
+
+def is_plain(low: str) -> bool:
+    """Whether a lower-case text has no special token, character beyond Latin ones, or control character that Python takes for a blank."""
+    return _SPECIAL not in low and not _CONTROL.search(low) and (low.isascii() or not _BEYOND_LATIN.search(low))
+
+
+def _latin_pieces() -> re.Pattern:
+    """The vocabulary's pre-tokenizer for words in lower case of characters up to U+024F."""
+    of = {c: "".join(chr(i) for i in range(0x250) if unicodedata.category(chr(i))[0] == c) for c in "LN"}
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of['L']}]+|[{of['N']}]|[^\\s{of['L']}{of['N']}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: itself where it is printable, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 def word_bpe_path() -> str:
@@ -36,72 +57,71 @@ class WordEncoder:
     """Token ids of whole texts as little-endian bytes. Words between blanks are encoded once and remembered.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a text's ids are those of its words in
-    order. A word of Latin letters and marks after them is two pre-tokens, in lower case; new letter words are
-    encoded many at a time as one text, whose pre-tokens are then these words. All other words are encoded alone.
-    At most about KEPT_WORDS words are remembered at a time."""
+    order. Words of Latin letters are taken in lower case, cut into pre-tokens and these, far fewer, given to the
+    vocabulary's model; words with other characters or special tokens go through the tokenizer as they are. At most
+    about KEPT_WORDS words are remembered at a time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.pieces, self.letters = _latin_pieces(), _byte_letters()
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
 
     def alone(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn_letters(self, words: list[str]) -> None:
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.asarray(e.ids, dtype="<u4").tobytes(), np.asarray(e.word_ids)
-            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) * 4
-            if len(ends) != len(part):
-                raise ValueError("letter words and pre-tokens differ")
-            start = 0
-            for w, end in zip(part, ends.tolist()):
-                self.parts[w] = ids[start:end]
-                start = end
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(self.parts) + len(words) > KEPT_WORDS:
-            self.known.clear()
-            self.parts = {"": b""}
-        split, parts, letters = [], self.parts, set()
-        for w in words:
-            low = w.lower()
-            core = low.rstrip(_MARKS)
-            if core.isalpha() and (core.isascii() or max(core) < _BEYOND_LATIN):
-                split.append((w, core, low[len(core) :]))
-                if core not in parts:
-                    letters.add(core)
+    def part(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() and piece.isprintable() else "".join(self.letters[b] for b in piece.encode())
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def learn(self, plain: set[str], other: set[str]) -> None:
+        parts, known = self.parts, self.known
+        for w in other:
+            if is_plain(w.lower()):
+                plain.add(w)
             else:
-                self.known[w] = self.alone(w)
-        self.learn_letters(list(letters))
-        for w, core, tail in split:
-            if tail not in parts:
-                parts[tail] = self.alone(tail)
-            self.known[w] = parts[core] + parts[tail]
+                known[w] = self.alone(w)
+        for w in plain:
+            found = self.pieces.findall(w.lower())
+            for piece in found:
+                if piece not in parts:
+                    parts[piece] = self.part(piece)
+            known[w] = parts[found[0]] if len(found) == 1 else b"".join([parts[x] for x in found])
 
     def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
-        # str.split also parts words at four control characters that the tokenizer takes as text
-        split = [re.split(r"[\t-\r ]+", t) if _CONTROL.search(t) else t.split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if len(self.known) + len(self.parts) + len(new) > KEPT_WORDS:
-            new = words
-        self.learn(new)
+        split, words = [], {True: [], False: []}
+        for t in texts:
+            low = t.lower()
+            plain = is_plain(low)  # then case makes no difference
+            # str.split also parts words at four control characters that the tokenizer takes as text
+            split.append(low.split() if plain else re.split(r"[\t-\r ]+", t) if _CONTROL.search(t) else t.split())
+            words[plain].append(split[-1])
+        every = {k: set().union(*v) for k, v in words.items()}
+        new = {k: v.difference(self.known) for k, v in every.items()}
+        if len(self.known) + len(self.parts) + sum(map(len, new.values())) > KEPT_WORDS:
+            self.known.clear()
+            self.parts.clear()
+            new = every
+        self.learn(new[True], new[False])
         for ws in split:
             yield b"".join(map(self.known.__getitem__, ws))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def piece_reader(path: str, end_id: int, capacity: int):
     """For mapInPandas: (doc_id, text) to one row per piece of at most `capacity` ids."""
 
     def read(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        encoder, end = WordEncoder(path), np.asarray([end_id], dtype="<u4").tobytes()
+        words, end = encoder(path), np.asarray([end_id], dtype="<u4").tobytes()
         for pdf in it:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             at = 0
@@ -111,7 +131,7 @@ def piece_reader(path: str, end_id: int, capacity: int):
                     chars += len(texts[stop] or "")
                     stop += 1
                 rows = []
-                for doc_id, held in zip(ids[at:stop], encoder.encode_texts([t or "" for t in texts[at:stop]])):
+                for doc_id, held in zip(ids[at:stop], words.encode_texts([t or "" for t in texts[at:stop]])):
                     held += end
                     for piece, start in enumerate(range(0, len(held) // 4, capacity)):
                         part = held[4 * start : 4 * (start + capacity)]

@@ -110,16 +110,15 @@ def test_one_failure_does_not_condemn_a_small_host(spark):
 
 
 def test_packing_against_whole_texts(spark):
-    texts = [(1, None), (2, "it's Ünder-x 12ab ... Wörld.,; <|endoftext|> 你好"), (3, "alpha, beta " * 5000), (4, ""), (5, "x\x1cy z"), (6, "ΣΑΣ. İstanbul é")]
+    texts = [(1, None), (2, "it's Ünder-x 12ab ... Wörld.,; <|endoftext|> 你好"), (3, "alpha, beta " * 5000), (4, ""), (5, "x\x1cy z"), (6, "ΣΑΣ. İstanbul é"), (7, "a <|endoftext|>b <|ENDOFTEXT|> x<|startoftext|>"), (None, "no id")]
     got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").withColumn("piece", F.lit("own")), capacity=512).toPandas()
     from tokenizers import Tokenizer
     import zlib, numpy as np  # noqa: E401
 
     t = Tokenizer.from_file(packing.word_bpe_path())
-    t.encode_special_tokens = True
     for d, text in texts:
         ids = t.encode(text or "", add_special_tokens=False).ids + [1]
-        own = got[got.doc_id == d].sort_values("piece")
+        own = got[got.doc_id.isna() if d is None else got.doc_id == d].sort_values("piece")
         assert own["length"].sum() == len(ids) and own["start"].tolist() == list(range(0, len(ids), 512))
         assert own["ids_crc32"].tolist() == [zlib.crc32(np.asarray(ids[i : i + 512], dtype="<u4").tobytes()) for i in range(0, len(ids), 512)]
     for _, s in got.sort_values("offset").groupby("sequence_id"):
@@ -127,6 +126,18 @@ def test_packing_against_whole_texts(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_words_encode_as_whole_texts():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in [*range(1, 0x250), 0x300, 0x307, 0x3A3, 0x3C2, 0x4E2D, 0x2028, 0x3000, 0x1F600, 0xAC00]] + list("'sdtmvrel  ,.") * 20
+    texts = ["".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(1500)]
+    t, mine = Tokenizer.from_file(packing.word_bpe_path()), packing.WordEncoder(packing.word_bpe_path())
+    for text, got in zip(texts, mine.encode_texts(texts)):
+        assert np.frombuffer(got, dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_sum_of_squares_places_every_piece_where_the_counts_stay_smallest():
     import numpy as np
 
