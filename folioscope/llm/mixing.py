@@ -140,15 +140,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: fl
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix with the columns of docs, each as often as the mix takes it.
 
-    Rows that share id, source and size divide the copies of all of them, the first by text taking one more."""
+    Rows that share id, source and size divide the copies of all of them, the first by their columns taking one more.
+    Documents without words, null texts among them, have nothing to mix and are left out."""
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     plan = cut(plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0"))
     named = docs.select(F.struct(*docs.columns).alias("__all")).withColumns({
         "__id": F.col(f"__all.{id_col}"), "__source": F.col(f"__all.{source_col}"), "__size": word_count(F.col(f"__all.{text_col}"))})
     same = [named[c].eqNullSafe(plan[c]) for c in ("__id", "__source", "__size")]
-    found = named.join(plan, same[0] & same[1] & same[2]).select("__all", plan["__id"], "__copies", "__rows")
+    found = named.join(plan, same[0] & same[1] & same[2]).select("__all", *[plan[c] for c in ("__id", "__source", "__size", "__copies", "__rows")])
     alone = found.where("__rows = 1").select("__all", "__copies")
-    order = f"row_number() OVER (PARTITION BY __id ORDER BY __all.{text_col})"
+    rest = ", ".join(f"__all.`{c}`" for c, t in docs.dtypes if not t.startswith(("map", "variant")))  # what can't be ordered
+    order = f"row_number() OVER (PARTITION BY __id, __source, __size ORDER BY {rest})"
     shared = found.where("__rows > 1").withColumn("__n", F.expr(order)).select("__all", F.expr("__copies div __rows + IF(__n <= __copies % __rows, 1, 0)").alias("__copies"))
     each = alone.unionByName(shared).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
     return each.select("__all.*")

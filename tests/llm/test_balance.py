@@ -109,6 +109,16 @@ def test_one_failure_does_not_condemn_a_small_host(spark):
     assert got[5001]["kept"] and got[5001]["host_rate"] < 0.5
 
 
+def test_repeated_ids_share_the_copies_of_their_source_and_size(spark):
+    rows = [(1, "z z z", "s1"), (1, "z z z", "s1"), (1, "a a a", "s2"), (1, "a a a", "s2"), (1, "b b b", "s2"), (2, "c d", None), (None, "e f g h", "s1"), (3, None, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("own"))
+    want = {(r["source"], r["size"]): r["n"] for r in mixing.mix(docs).groupBy("source", "size").agg(F.sum("copies").alias("n")).collect() if r["n"]}
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = {(r["source"], r["size"]): r["n"] for r in out.groupBy("source", mixing.word_count(F.col("text")).alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == want and want[("s1", 3)] >= 1
+
+
 def test_packing_against_whole_texts(spark):
     texts = [(1, None), (2, "it's Ünder-x 12ab ... Wörld.,; <|endoftext|> 你好"), (3, "alpha, beta " * 5000), (4, ""), (5, "x\x1cy z"), (6, "ΣΑΣ. İstanbul é"), (7, "a <|endoftext|>b <|ENDOFTEXT|> x<|startoftext|>"), (None, "no id")]
     got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").withColumn("piece", F.lit("own")), capacity=512).toPandas()
