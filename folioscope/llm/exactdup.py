@@ -1,10 +1,11 @@
 """Exact duplicates through an extendible-hash index kept on shared files.
 
-Every text is normalised, hashed to 64 bits and combined, on the map side first, into one index entry per
-distinct text; the aggregate compares whole texts by their bytes, so texts that share a hash stay separate
-entries, chained behind that hash. The directory has 2^g cells, one per g-bit prefix of the hash. It doubles
-(each bucket splits on its next bit) until no bucket holds more than `capacity` entries or g reaches its bound.
-Owner tasks then write contiguous ranges of buckets, sorted, as the index files which the documents look up.
+Every text is normalised and hashed to 64 bits; these slim rows are counted by hash. The directory has 2^g cells, one per
+g-bit prefix of the hash. It doubles, each overfull bucket splitting on its next bit, until no bucket holds more than
+`capacity` hashes or g reaches its bound. A hash that stands once is an entry as it is. Where it stands more than once, its
+texts chain behind it: only these texts are read again, and each is compared with the others of its chain by its bytes, so
+that different texts of one hash stay separate entries. Owner tasks write the entries of whole buckets, sorted, as the
+index; a document looks its text up in the bucket that the directory names for its hash.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from folioscope.session import cut
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """capacity: entries of a bucket before it splits. max_depth: bound of the directory, 2^max_depth cells."""
+    """capacity: hashes of a bucket before it splits. max_depth: bound of the directory, 2^max_depth cells.
+    mark_bits: prefixes of this many bits mark where chains are; 2^(mark_bits - 6) words at most are broadcast."""
 
-    capacity: int = 1 << 20
+    capacity: int = 1 << 12
     max_depth: int = 14
+    mark_bits: int = 22
 
 
 def prefix(h: Column, bits: int) -> Column:
@@ -31,15 +34,35 @@ def prefix(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct normalised text: h, digest, keep_id (largest id), group_size.
+def normalised(text_col: str) -> Column:
+    return ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
 
-    Grouping by the text itself is the byte comparison. Copies combine before the shuffle, so a text that a
-    third of all rows share sends one row per map task."""
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    one = docs.select(F.col(id_col).alias("keep_id"), norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
-    groups = one.groupBy("h", "norm").agg(F.max("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return groups.select("h", F.sha2("norm", 256).alias("digest"), "keep_id", "group_size")
+
+def marked(rows: DataFrame, hashes: DataFrame, bits: int) -> DataFrame:
+    """Rows whose h begins as one of the hashes does: a filter of a fixed size that lets no wanted row go.
+
+    The prefixes are bits of at most 2^(bits - 6) words, which are broadcast."""
+    at = prefix(F.col("h"), bits)
+    words = hashes.select(F.shiftright(at, 6).alias("__word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, %d) & 63 as int))" % (64 - bits)).alias("bit"))
+    words = cut(words.groupBy("__word").agg(F.bit_or("bit").alias("__bits")))
+    found = rows.withColumn("__word", F.shiftright(at, 6)).join(F.broadcast(words), "__word")
+    return found.where(F.expr("(shiftrightunsigned(__bits, cast(shiftrightunsigned(h, %d) & 63 as int)) & 1) = 1" % (64 - bits))).drop("__word", "__bits")
+
+
+def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: IndexSpec = IndexSpec()) -> tuple[DataFrame, DataFrame]:
+    """(hashes, entries). hashes: h, n. entries, one row per distinct normalised text: h, digest, keep_id (largest id), group_size.
+
+    Grouping a chain by its texts is the byte comparison. Copies combine before the shuffle, so a text that a third of
+    all rows share sends one row per map task; a text whose hash stands alone isn't shuffled."""
+    norm = normalised(text_col)
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("digest"))
+    hashes = cut(slim.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"), F.min("digest").alias("digest")))
+    chains = hashes.where("n > 1").select("h")
+    texts = marked(docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("h", F.xxhash64("norm")), chains, spec.mark_bits)
+    groups = texts.groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    chained = groups.select("h", F.sha2("norm", 256).alias("digest"), "keep_id", "group_size").join(chains, "h", "left_semi")
+    alone = hashes.where("n = 1").select("h", "digest", "keep_id", F.lit(1).cast("long").alias("group_size"))
+    return hashes.select("h", "n"), alone.unionByName(chained)
 
 
 def directory(index: DataFrame, spec: IndexSpec) -> DataFrame:
@@ -56,13 +79,18 @@ def directory(index: DataFrame, spec: IndexSpec) -> DataFrame:
     return fits.groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("at")).select("cell", "at.depth", "at.bucket")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: IndexSpec = IndexSpec()) -> DataFrame:
-    """The index as files in the shared folder: depth, bucket, h, digest, keep_id, group_size."""
-    held = cut(entries(docs, id_col, text_col))
-    cells = F.broadcast(directory(held, spec))  # at most 2^max_depth rows of three numbers
-    located = held.withColumn("cell", prefix(F.col("h"), spec.max_depth)).join(cells, "cell", "left")
-    owned = located.repartitionByRange("h").sortWithinPartitions("h", "digest")
-    return written(owned.select("depth", "bucket", "h", "digest", "keep_id", "group_size"), "exact-index")
+def located(rows: DataFrame, cells: DataFrame, spec: IndexSpec) -> DataFrame:
+    """rows with depth and bucket, the place of their h."""
+    return rows.withColumn("__cell", prefix(F.col("h"), spec.max_depth)).join(F.broadcast(cells.withColumnRenamed("cell", "__cell")), "__cell").drop("__cell")
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: IndexSpec = IndexSpec()) -> tuple[DataFrame, DataFrame]:
+    """(cells, index). cells: the directory, at most 2^max_depth rows. index, files in the shared folder written bucket by
+    bucket: depth, bucket, h, digest, keep_id, group_size."""
+    hashes, found = entries(docs, id_col, text_col, spec)
+    cells = cut(directory(hashes, spec))
+    owned = located(found, cells, spec).repartition("depth", "bucket").sortWithinPartitions("depth", "bucket", "h", "digest")
+    return cells, written(owned.select("depth", "bucket", "h", "digest", "keep_id", "group_size"), "exact-index")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: IndexSpec = IndexSpec()) -> DataFrame:
@@ -70,17 +98,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts count as empty and so equal each other and empty texts. A null id never stays where another
     copy has an id. Of repeated rows (equal id and text) every one that has the largest id is marked kept; see
-    `exact_dedup` for the filter that leaves one. Columns of docs with these names are replaced. An empty table
-    gives an empty result."""
-    index = build_index(docs, id_col, text_col, spec).where("group_size > 1").select("h", F.col("digest").alias("text_sha256"), "keep_id", "group_size")
-    clash = {"keep_id", "group_size", "kept", "text_sha256", "__h"}
-    out = docs.drop(*[c for c in docs.columns if c in clash and c != id_col])
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumns({"__h": F.xxhash64(norm), "text_sha256": F.sha2(norm, 256)})
-    found = out.join(index.withColumnRenamed("h", "__h"), ["__h", "text_sha256"], "left")  # a hot text is split by the adaptive skew join
-    return found.withColumns({
-        "keep_id": F.coalesce("keep_id", id_col), "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
-    }).withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col))).drop("__h")
+    `exact_dedup` for the filter that leaves one. Very long texts are compared whole. Columns of docs with these names
+    are replaced. An empty table gives an empty result."""
+    cells, index = build_index(docs, id_col, text_col, spec)
+    index = index.where("group_size > 1").select("depth", "bucket", "h", F.col("digest").alias("text_sha256"), "keep_id", "group_size")
+    own = ("keep_id", "group_size", "text_sha256", "depth", "bucket", "h")
+    kept = [c for c in docs.columns if c == id_col.split(".")[0] or c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__doc"), F.xxhash64(normalised(text_col)).alias("h"), F.sha2(normalised(text_col), 256).alias("text_sha256"))
+    found = located(rows, cells, spec).join(index, ["depth", "bucket", "h", "text_sha256"], "left")  # a hot text is split by the adaptive skew join
+    found = found.select("__doc", *[F.col(c).alias(f"__{c}") for c in own])
+    doc_id = F.col(f"__doc.{id_col}")
+    keep = F.when(F.col("__group_size").isNull(), doc_id).otherwise(F.col("__keep_id"))
+    return found.select("__doc.*", *[x.alias(n) for n, x in (
+        ("keep_id", keep), ("group_size", F.coalesce("__group_size", F.lit(1).cast("long"))), ("kept", keep.eqNullSafe(doc_id)), ("text_sha256", F.col("__text_sha256")))])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: IndexSpec = IndexSpec()) -> DataFrame:

@@ -35,13 +35,34 @@ def test_exact_dedup_leaves_one_of_repeated_rows_and_keeps_columns(spark):
 
 
 def test_directory_doubles_until_buckets_fit(spark):
-    index = spark.range(200).select(F.xxhash64("id").alias("h"))
+    index = spark.range(200).select(F.xxhash64("id").alias("h"), F.lit(1).alias("n"))
     spec = exactdup.IndexSpec(capacity=10, max_depth=8)
     d = exactdup.directory(index, spec)
     held = index.withColumn("cell", exactdup.prefix(F.col("h"), 8)).join(d, "cell").groupBy("depth", "bucket").count().collect()
     assert sum(r["count"] for r in held) == 200 and max(r["count"] for r in held) <= 10 and max(r["depth"] for r in held) > 3
 
 
+def test_documents_look_their_texts_up_in_the_buckets_of_the_directory(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i % 60}", "own", "own") for i in range(150)], SCHEMA)
+    spec = exactdup.IndexSpec(capacity=4, max_depth=8, mark_bits=8)
+    cells, index = exactdup.build_index(docs, spec=spec)
+    held = index.groupBy("depth", "bucket").count().collect()
+    assert len(held) > 10 and max(r["count"] for r in held) <= 4 and index.count() == 60
+    assert {r["group_size"] for r in exactdup.exact_groups(docs, spec=spec).collect()} == {2, 3}
+    whole = exactdup.located
+    monkeypatch.setattr(exactdup, "located", lambda rows, cells, spec: whole(rows, cells, spec).withColumn("bucket", F.lit(0) if "__doc" in rows.columns else F.col("bucket")))
+    assert 1 in {r["group_size"] for r in exactdup.exact_groups(docs, spec=spec).collect()}  # a wrong bucket finds nothing
+
+
+def test_texts_that_share_a_hash_are_chained_apart(spark, monkeypatch):
+    real = exactdup.F.xxhash64
+    monkeypatch.setattr(exactdup.F, "xxhash64", lambda *c: (real(*c) % 3).cast("long"))  # every text collides with many
+    docs = spark.createDataFrame([(i, f"T{i % 7}" if i % 2 else f"t{i % 7}", "own", "own") for i in range(40)], SCHEMA)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exactdup.exact_groups(docs).collect()}
+    of = {k: [i for i in range(40) if i % 7 == k] for k in range(7)}
+    assert got == {i: (max(of[i % 7]), len(of[i % 7])) for i in range(40)}
+
+
 def brute(texts: dict, size: int, percent: int = 80) -> dict:
     sets = {}
     for i, t in texts.items():
