@@ -103,10 +103,11 @@ QUERY_SQL = {
               FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)),
         b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
         h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
-        p AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS var FROM h),
-        w AS (SELECT mean, CASE WHEN var > 1e-12 THEN greatest(1.0, least(10000.0, mean * (1 - mean) / var - 1)) ELSE 10000.0 END AS weight FROM p),
-        r AS (SELECT source, (f + mean * weight) / (n + weight) AS rate FROM h, w)
+        p AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS spread, avg(1 / n) AS share FROM h),
+        v AS (SELECT mean, mean * (1 - mean) AS p, spread - mean * (1 - mean) * share AS var FROM p),
+        w AS (SELECT mean, p, CASE WHEN var > 1e-9 THEN greatest(1.0, least(10000.0, p / var - 1)) ELSE 10000.0 END AS weight FROM v),
+        r AS (SELECT source, (f + mean * weight) / (n + weight) AS rate, least(0.5, greatest(mean + 3 * sqrt(p / (weight + 1)), 2 * mean)) AS top FROM h, w)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND coalesce(rate, 0.0) <= 0.5 AS kept
+               NOT base_failed AND coalesce(rate <= top, true) AS kept
         FROM b LEFT JOIN r USING (source)""",
 }

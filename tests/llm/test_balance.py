@@ -109,6 +109,17 @@ def test_one_failure_does_not_condemn_a_small_host(spark):
     assert got[5001]["kept"] and got[5001]["host_rate"] < 0.5
 
 
+def test_the_prior_decides_which_hosts_are_out_of_the_common(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(h * 100 + i, good if i >= 5 + h % 3 else "x", f"h{h}") for h in range(40) for i in range(100)]
+    rows += [(9000 + i, good if i >= 35 else "x", "odd") for i in range(100)] + [(9900, good, "odd"), (9901, good, None), (None, good, "h1"), (9902, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("kept", F.lit("own"))
+    got = hostrules.judge(docs).collect()
+    assert {r["host"] for r in got if not r["base_failed"] and not r["kept"]} == {"odd"}  # at 35% against 6%
+    assert {r["kept"] for r in got if r["host"] != "odd" and not r["base_failed"]} == {True}
+    assert hostrules.judge(docs.limit(0)).count() == 0
+
+
 def test_repeated_ids_share_the_copies_of_their_source_and_size(spark):
     rows = [(1, "z z z", "s1"), (1, "z z z", "s1"), (1, "a a a", "s2"), (1, "a a a", "s2"), (1, "b b b", "s2"), (2, "c d", None), (None, "e f g h", "s1"), (3, None, "s2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("own"))
