@@ -2,7 +2,8 @@
 
 Records are written by Spark's text writer, whose separator is the pair of line ends that closes a record. Each
 archive read back gives a run of index entries, sorted by URL key and time. Runs meet in tasks that own a range
-of keys; there a loser tree merges them, so the tasks' outputs in order are the global capture history.
+of keys, each in its own order; there a loser tree merges them, so the tasks' outputs in order are the global capture
+history.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from folioscope.llm.common import shared_path, written
 from folioscope.session import cut, ship_package
 
 ENTRY = "urlkey string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, record_no long"
+RUN = ENTRY + ", position long"  # the entry's place in its run
 ORDER = ["urlkey", "captured", "page_id", "record_no"]
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n"
@@ -67,38 +69,63 @@ def record_text(software: str = "folioscope") -> Column:
     ), F.lit(END), block)
 
 
-def write_archives(rows: DataFrame, path: str, records_per_file: int = 2000) -> None:
-    """Gzipped archives under path, of at most so many records each."""
-    out = rows.select(record_text().alias("value"))
-    out.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+#: Payloads from this size on go to archives of their own, so that an archive of many records stays below 256 MB.
+LARGE_BYTES = 1 << 18
+
+
+def write_archives(rows: DataFrame, path: str, records_per_file: int = 1000, large_per_file: int = 8) -> None:
+    """Gzipped archives in path/small and path/large, of at most so many records each."""
+    for name, some, most in (("small", rows.where(F.col("payload_bytes") < LARGE_BYTES), records_per_file), ("large", rows.where(F.col("payload_bytes") >= LARGE_BYTES), large_per_file)):
+        some.select(record_text().alias("value")).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/{name}")
+
+
+def unzipped(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file of gzip members, a step's worth at a time. A member that doesn't end is an error."""
+    at = 0
+    while at < len(content):
+        gz = zlib.decompressobj(31)
+        while not gz.eof:
+            if at >= len(content):
+                raise ValueError("the archive ends within a gzip member")
+            part = content[at : at + step]
+            yield gz.decompress(part)
+            at += len(part) - len(gz.unused_data)
 
 
 def records(content: bytes, step: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a gzipped archive; holds one record and a step at a time."""
-    gz, held, at = zlib.decompressobj(31), b"", 0
+    """(headers, block) of each record of a gzipped archive; holds one record and a step at a time.
+
+    An archive that ends anywhere but after a record's separator is an error."""
+    parts, held, at = unzipped(content, step), bytearray(), 0
 
     def more() -> bool:
-        nonlocal held, at, gz
-        while at < len(content):
-            held += gz.decompress(content[at : at + step])
-            at += step
-            if gz.eof and gz.unused_data:  # the next member
-                at -= len(gz.unused_data) + max(0, at - len(content))
-                gz = zlib.decompressobj(31)
-            return True
-        return False
+        nonlocal at
+        part = next(parts, None)
+        if part is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(part)
+        return True
 
     while True:
-        while (head := held.find(b"\r\n\r\n")) < 0:
+        while (head := held.find(b"\r\n\r\n", at)) < 0:
             if not more():
+                if len(held) > at:
+                    raise ValueError("the archive ends within a record's headers")
                 return
-        lines = held[:head].decode().split(END)
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        first, size = head + 4, int(headers["Content-Length"])
-        while len(held) < first + size + 4 and more():
-            pass
-        yield headers, held[first : first + size]
-        held = held[first + size + 4 :]
+        lines = held[at:head].decode().split(END)
+        if not lines[0].startswith("WARC/"):
+            raise ValueError("a record doesn't begin with its version")
+        headers, at = dict(x.split(": ", 1) for x in lines[1:]), head + 4
+        size = int(headers["Content-Length"])
+        while len(held) - at < size + 4:
+            if not more():
+                raise ValueError(f"the archive ends within {headers['WARC-Record-ID']}")
+        if held[at + size : at + size + 4] != b"\r\n\r\n":
+            raise ValueError(f"{headers['WARC-Record-ID']}: its block isn't as long as stated")
+        yield headers, bytes(held[at : at + size])
+        at += size + 4
 
 
 def _page(name: str) -> int | None:
@@ -124,15 +151,21 @@ def _sort_key(e: tuple) -> tuple:
     return e[0], e[1], e[2] is not None, e[2] or 0
 
 
+_NAMES = [x.split()[0] for x in RUN.split(", ")]
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+
 def read_runs(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     """For mapInPandas over (path, content): each archive's index entries as one sorted run."""
-    names = [x.split()[0] for x in ENTRY.split(", ")]
     for pdf in it:
         for path, content in zip(pdf["path"], pdf["content"]):
-            run = path.rsplit("/", 1)[-1]
+            run = "/".join(path.rsplit("/", 2)[-2:])
             found = [(*index_entry(h, b), run, i) for i, (h, b) in enumerate(records(content))]
             found.sort(key=_sort_key)
-            yield pd.DataFrame(found, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield _frame([(*e, i) for i, e in enumerate(found)])
 
 
 def loser_tree_merge(runs: list[list[tuple]], key=_sort_key) -> Iterator[tuple]:
@@ -169,11 +202,11 @@ def loser_tree_merge(runs: list[list[tuple]], key=_sort_key) -> Iterator[tuple]:
 
 
 def merge_range(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    """For mapInPandas over a range of keys, rows run after run: the runs' pieces merged into one order."""
-    names, runs, last = [x.split()[0] for x in ENTRY.split(", ")], [], None
+    """For mapInPandas over a range of keys, rows run after run: the runs' pieces merged into one order. Holds the range."""
+    runs, last = [], None
     for pdf in it:
         pdf = pdf.astype({"page_id": "Int64", "refers_to": "Int64"})
-        for row in zip(*[[None if v is pd.NA else v for v in pdf[c].astype(object)] for c in names]):
+        for row in zip(*[[None if v is pd.NA else v for v in pdf[c].astype(object)] for c in _NAMES]):
             if row[7] != last:
                 runs.append([])
                 last = row[7]
@@ -182,28 +215,30 @@ def merge_range(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     for row in loser_tree_merge(runs):
         out.append(row)
         if len(out) == 20_000:
-            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield _frame(out).drop(columns="position")
             out = []
-    yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+    yield _frame(out).drop(columns="position")
 
 
 def merge_runs(runs: DataFrame, entries_per_range: int = 100_000) -> DataFrame:
-    """All entries in the order of URL key, time and id; a task holds the entries of its range only.
+    """All entries (RUN's columns) in the order of URL key, time and id; a task holds the entries of its range only, about
+    entries_per_range. Runs come in the order that their archives' readers gave them.
 
     Ranges cut through the captures of a hot URL, as time and id are part of the key."""
     parts = max(1, -(-runs.count() // entries_per_range))
-    ranged = runs.repartitionByRange(max(parts, runs.sparkSession.sparkContext.defaultParallelism), *ORDER).sortWithinPartitions("run", *ORDER)
+    ranged = runs.repartitionByRange(max(parts, runs.sparkSession.sparkContext.defaultParallelism), *ORDER).sortWithinPartitions("run", "position")
     return ranged.mapInPandas(merge_range, ENTRY)
 
 
 def capture_history(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
     """Writes the archives of pages under path (default: the shared folder), reads them back and merges their indexes.
 
-    One row per record: ENTRY's columns. Rows without an id are responses unless no id is compared; an empty
-    table gives an empty result; repeated rows are records each, those that repeat the largest id all responses."""
+    One row per record: ENTRY's columns. Rows without an id are responses, as no id compares with theirs; null payloads
+    are empty; very long ones have archives of their own; an empty table gives an empty result; repeated rows are
+    records each, those that repeat the largest id all responses. Of pages only the named columns are read."""
     spark: SparkSession = pages.sparkSession
     ship_package(spark)
     path = path or shared_path(spark, "warc")
     write_archives(resolved(pages, **columns), path)
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", "content")
-    return merge_runs(written(files.mapInPandas(read_runs, ENTRY), "capture-runs"))
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(f"{path}/*").select("path", "content")
+    return merge_runs(written(files.mapInPandas(read_runs, RUN), "capture-runs"))

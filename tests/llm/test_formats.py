@@ -46,17 +46,17 @@ def test_shared_turns_are_written_once_in_a_block(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 600
-    rows = [(1, "http://B.org/x", big), (2, "http://a.b.org:80/?q=1", big), (3, None, "small"), (4, "http://b.org/x", "small"), (5, "https://u@c.org", None), (6, "http://b.org/x", "crlf\r\n\r\nWARC/1.1\r\n"), (6, "http://b.org/x", big), (7, "bad\r\nurl x", "z" * 5000)]
+    rows = [(1, "http://B.org/x", big), (2, "http://a.b.org:80/?q=1", big), (3, None, "small"), (4, "http://b.org/x", "small"), (5, "https://u@c.org", None), (6, "http://b.org/x", "crlf\r\n\r\nWARC/1.1\r\n"), (6, "http://b.org/x", big), (7, "bad\r\nurl x", "z" * 5000), (8, "http://b.org/long", "y" * 300_000), (None, "http://b.org/none", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("run", F.lit("own"))
     history = warc.capture_history(pages, str(tmp_path / "w")).collect()
-    heads = max(i for i, _, h in rows if h == big)
-    assert sorted((r["page_id"], r["payload_digest"]) for r in history) == sorted((i, hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in rows)
+    heads = max(i for i, _, h in rows if h == big and i)
+    assert sorted((r["page_id"] or 0, r["payload_digest"]) for r in history) == sorted((i or 0, hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in rows)
     for r in history:
-        revisit = r["payload_bytes"] == 1200 and r["page_id"] < heads
+        revisit = r["payload_bytes"] == 1200 and r["page_id"] is not None and r["page_id"] < heads
         assert (r["record_type"], r["refers_to"]) == (("revisit", heads) if revisit else ("response", None))
-    order = [(r["urlkey"], r["captured"], r["page_id"]) for r in history]
+    order = [(r["urlkey"], r["captured"], r["page_id"] or 0) for r in history]
     assert order == sorted(order) and ("org,b,a)/?q=1" in {x[0] for x in order})
-    files = list((tmp_path / "w").glob("*.gz"))
+    files = list((tmp_path / "w").glob("*/*.gz"))
     assert sum(gzip.open(f).read().count(b"WARC-Type: revisit") for f in files) == 2
     assert warc.capture_history(pages.limit(0)).count() == 0
 
@@ -101,3 +101,32 @@ def test_co_training_on_held_out_rows(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.95
     assert cotrain.classify(docs.limit(0), labels).count() == 0
     assert cotrain.classify(docs, labels.limit(0)).count() == 502
+
+
+def _archive(n: int) -> bytes:
+    out = b""
+    for i in range(n):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + b"p" * (i % 50)
+        out += f"WARC/1.1\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    return out
+
+
+def test_archives_of_several_members_are_read_whole_and_cut_ones_fail():
+    whole = _archive(400)
+    half = whole.index(b"WARC/1.1", len(whole) // 2)
+    zipped = gzip.compress(whole[:half]) + gzip.compress(whole[half:]) + gzip.compress(b"")
+    for step in (7, 1 << 20):
+        assert [h["WARC-Record-ID"] for h, _ in warc.records(zipped, step)] == [f"<urn:page:{i}>" for i in range(400)]
+    assert not list(warc.records(b"")) and not list(warc.records(gzip.compress(b"")))
+    for bad in (zipped[: len(zipped) // 2], gzip.compress(whole[: half + 20]), gzip.compress(whole[: half - 2]), gzip.compress(whole[: half - 30])):
+        with pytest.raises(ValueError):
+            list(warc.records(bad))
+
+
+def test_merge_follows_the_order_of_the_runs(spark):
+    rows = [(f"k{i % 7}", f"{i:04}", i, 0, "", "response", None, f"r{i % 3}", i, i) for i in range(60)]
+    runs = spark.createDataFrame(rows, warc.RUN).withColumn("position", F.expr("row_number() OVER (PARTITION BY run ORDER BY urlkey, captured) - 1"))
+    got = [(r["urlkey"], r["captured"]) for r in warc.merge_runs(runs, entries_per_range=10).collect()]
+    assert got == sorted((r[0], r[1]) for r in rows)
+    last_first = runs.withColumn("position", -F.col("position"))  # runs out of order can't merge: nothing sorts them again
+    assert [(r["urlkey"], r["captured"]) for r in warc.merge_runs(last_first, entries_per_range=100).collect()] != got
