@@ -38,6 +38,19 @@ def test_chat_tree_against_brute_force(spark):
     assert chat.formatted(turns.limit(0)).count() == 0
 
 
+def test_turns_without_a_conversation_and_very_long_ones(spark):
+    rows = [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (1, 0, "assistant", "<" * 200_000), (1, 0, "assistant", "<" * 200_000)]
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in got) == [(0, 1, 0), (0, 1, 0), (0, 1, 1), (1, 2, 400_000)]
+
+
+def test_a_line_of_turns_is_one_interval():
+    import pandas as pd
+
+    block = chat.render_block(pd.DataFrame({"path": ["p", "q"], "roles": [["a"] * 50, ["a", "b"]], "texts": [["t"] * 50, ["t", "u"]], "trunk": 1, "cell": 0}))
+    assert max(block["n_intervals"][0]) == 1 and len(block["starts"][0]) == 51
+
+
 def test_shared_turns_are_written_once_in_a_block(spark):
     rows = [(c, i, "user", "the same opening" if i == 0 else f"own {c}") for c in range(6) for i in range(2)]
     _, blocks = chat.format_blocks(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
