@@ -1,12 +1,14 @@
 """Quality classifier by co-training of two views.
 
 One view reads the text: how kinds of characters follow each other and how words and lines repeat. The other sees
-the page's metadata only: language, source, length and layout of lines. Both learn from labelled documents; over
+the page's metadata columns only: language, source and stated length. Both learn from labelled documents; over
 rounds each labels the unlabelled ones it is surest of for the other. Their calibrated outputs are then combined.
+Features are computed where the texts are, and one task trains on the sample's features; the driver gets the model.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -22,11 +24,10 @@ from folioscope.session import cut, ship_package
 
 @dataclass(frozen=True)
 class CoTrainSpec:
-    """The fit reads at most labelled and pool documents, of at most sample_bytes bytes each."""
+    """The fit reads at most labelled and pool documents, whole."""
 
     labelled: int = 4000
     pool: int = 4000
-    sample_bytes: int = 100_000
     rounds: int = 3
     per_round: int = 300
     sure: float = 0.95
@@ -46,6 +47,7 @@ def _kinds() -> np.ndarray:
 
 _KIND = _kinds()
 _SOURCES, _LANGS = 32, 8
+_TEXT, _METADATA = 262, 3 + _LANGS + _SOURCES
 
 
 def text_view(texts: Iterable[str | None]) -> np.ndarray:
@@ -61,21 +63,20 @@ def text_view(texts: Iterable[str | None]) -> np.ndarray:
         repeats = 1 - len(set(phrases)) / max(1, len(phrases)) if phrases else 0.0
         twins = sum(a == b for a, b in zip(ws, ws[1:])) / n
         out.append(np.concatenate([np.sqrt(pairs), [repeats, twins, 1 - len(set(lines)) / max(1, len(lines)), min(sum(map(len, ws)) / n, 50), np.log1p(len(ws)), 1 - len(set(ws)) / n]]))
-    return np.array(out).reshape(len(out), 262)
+    return np.array(out).reshape(len(out), _TEXT)
 
 
-def metadata_view(texts: Iterable[str | None], langs: Iterable[str | None], sources: Iterable[str | None]) -> np.ndarray:
-    """Length, number and length of lines; language and source in hashed cells."""
+def metadata_view(lengths: Iterable[float | None], langs: Iterable[str | None], sources: Iterable[str | None]) -> np.ndarray:
+    """The stated length (its logarithm and square, or that none is stated); language and source in hashed cells."""
     out = []
-    for t, lang, source in zip(texts, langs, sources):
-        t = t or ""
-        lines = t.count("\n") + 1
-        row = np.zeros(4 + _LANGS + _SOURCES)
-        row[:4] = np.log1p(len(t)), np.log1p(lines), np.log1p(len(t) / lines), float(not t)
-        row[4 + zlib.crc32(str(lang).encode()) % _LANGS] = 1
-        row[4 + _LANGS + zlib.crc32(str(source).encode()) % _SOURCES] = 1
+    for n, lang, source in zip(lengths, langs, sources):
+        row = np.zeros(_METADATA)
+        known = n is not None and n == n
+        row[:3] = (np.log1p(max(0.0, n)), np.log1p(max(0.0, n)) ** 2, 0.0) if known else (0.0, 0.0, 1.0)
+        row[3 + zlib.crc32(str(lang).encode()) % _LANGS] = 1
+        row[3 + _LANGS + zlib.crc32(str(source).encode()) % _SOURCES] = 1
         out.append(row)
-    return np.array(out).reshape(len(out), 4 + _LANGS + _SOURCES)
+    return np.array(out).reshape(len(out), _METADATA)
 
 
 @dataclass(frozen=True)
@@ -122,44 +123,58 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, po
 
 def _features(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
     for pdf in it:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "a": list(text_view(pdf["text"])), "b": list(metadata_view(pdf["text"], pdf["lang"], pdf["source"]))})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "a": list(text_view(pdf["text"])), "b": list(metadata_view(pdf["length"], pdf["lang"], pdf["source"]))})
 
 
-def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _trainer(spec: CoTrainSpec):
+    """For mapInPandas in one task over the sample's features: the pickled model."""
+
+    def train(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "quality": pd.Series(dtype="int32"), "a": [], "b": []}), *it])
+        rows["first"] = [float(x[:-1].sum()) for x in rows["a"]]  # a fixed order where ids repeat
+        rows = rows.sort_values(["doc_id", "quality", "first"], kind="stable")
+        stack = lambda x, width: np.array(x.tolist(), dtype=float).reshape(len(x), width)
+        of = [(stack(part["a"], _TEXT), stack(part["b"], _METADATA)) for part in (rows[rows["quality"] >= 0], rows[rows["quality"] < 0])]
+        model = co_train(*of[0], rows.loc[rows["quality"] >= 0, "quality"].to_numpy(dtype=float), *of[1], spec)
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    return train
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str, length_col: str) -> DataFrame:
     has = set(docs.columns)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[(F.col(c).cast("string") if c in has else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")])
+    of = lambda c, kind: (F.col(c) if c in has else F.lit(None)).cast(kind)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[of(c, "string").alias(c) for c in ("lang", "source")], of(length_col, "double").alias("length"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, spec: CoTrainSpec = CoTrainSpec(), id_col: str = "doc_id", text_col: str = "text") -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame, spec: CoTrainSpec = CoTrainSpec(), id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> CoTrained:
     """Trains on labels outside the held-out fold and, as pool, documents without a label. Of two labels the better holds."""
     known = cut(labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")))
     learn = hashed_sample(known.where(F.coalesce(fold(), F.lit(HELD_OUT_FOLD)) != HELD_OUT_FOLD), spec.labelled, spec.seed)
-    slim = _slim(docs, id_col, text_col)
+    slim = _slim(docs, id_col, text_col, length_col)
     pool = hashed_sample(slim.select("doc_id").where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti"), spec.pool, spec.seed).withColumn("quality", F.lit(-1))
     chosen = F.broadcast(cut(learn.select("doc_id", "quality").unionByName(pool)))  # at most labelled + pool rows
-    rows = slim.where(F.octet_length("text") <= spec.sample_bytes).join(chosen, "doc_id").mapInPandas(_features, "doc_id long, quality int, a array<double>, b array<double>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    seen, unseen = rows[rows["quality"] >= 0], rows[rows["quality"] < 0]
-    stack = lambda s, width: np.array(s.tolist(), dtype=float).reshape(len(s), width)
-    wide_a, wide_b = 262, 4 + _LANGS + _SOURCES
-    return co_train(stack(seen["a"], wide_a), stack(seen["b"], wide_b), seen["quality"].to_numpy(dtype=float), stack(unseen["a"], wide_a), stack(unseen["b"], wide_b), spec)
+    features = slim.join(chosen, "doc_id").mapInPandas(_features, "doc_id long, quality int, a array<double>, b array<double>")
+    return pickle.loads(features.repartition(1).mapInPandas(_trainer(spec), "model binary").first()["model"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, spec: CoTrainSpec = CoTrainSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, spec: CoTrainSpec = CoTrainSpec(), id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """All columns of docs plus held_out, score (of good quality) and kept; one row per row of docs.
 
-    Null texts count as empty; null or absent lang and source are values of their own. Columns of docs with these
-    names are replaced. Without labels of both classes every score is the share of good ones, one half without any."""
+    Null texts count as empty, very long ones are read whole; null or absent lang, source and length are values of
+    their own. Repeated rows are scored each, and a sampled id teaches with all of its rows. Columns of docs with
+    these names are replaced. Without labels of both classes every score is the share of good ones, one half without
+    any. An empty table gives an empty result."""
     ship_package(docs.sparkSession)
-    model = fit(docs, labels, spec, id_col, text_col)
+    model = fit(docs, labels, spec, id_col, text_col, length_col)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
-        out = [model(text_view(text.iloc[i : i + 256]), metadata_view(text.iloc[i : i + 256], lang.iloc[i : i + 256], source.iloc[i : i + 256])) for i in range(0, len(text), 256)]
+    def score(text: pd.Series, lang: pd.Series, source: pd.Series, length: pd.Series) -> pd.Series:
+        parts = [slice(i, i + 256) for i in range(0, len(text), 256)]
+        out = [model(text_view(text.iloc[p]), metadata_view(length.iloc[p], lang.iloc[p], source.iloc[p])) for p in parts]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     out = docs.drop("held_out", "score", "kept")
-    absent = F.lit(None).cast("string")
-    of = lambda c: F.col(c).cast("string") if c in out.columns else absent
-    scored = out.withColumn("score", score(F.col(text_col), of("lang"), of("source")))
+    of = lambda c, kind: (F.col(c) if c in out.columns else F.lit(None)).cast(kind)
+    scored = out.withColumn("score", score(F.col(text_col), of("lang", "string"), of("source", "string"), of(length_col, "double")))
     return scored.withColumns({"held_out": F.coalesce(fold(id_col) == HELD_OUT_FOLD, F.lit(False)), "kept": F.col("score") >= spec.threshold})
