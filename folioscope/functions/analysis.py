@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.session import cut
+
 # Letters that an index without accents folds; both strings in step.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 TOKEN = r"[\p{L}\p{N}]+"
+# A run of Han characters has no blanks to part its words: its overlapping pairs stand for them, a lone character for itself.
+HAN_PAIRS = r"(\p{IsHan})(?=(\p{IsHan}))|(?<=\p{IsHan})\p{IsHan}"
 
 # Words that a query's terms leave out.
 STOP_WORDS = frozenset(
@@ -26,8 +31,12 @@ def folded(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Letters and digits in a row, in lower case and without accents; an empty array for a null text."""
-    return F.coalesce(F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    """Letters and digits in a row, in lower case and without accents; an empty array for a null text.
+
+    Han runs give their pairs, so words of two characters are found and longer ones are phrases of pairs."""
+    apart = F.regexp_replace(F.regexp_replace(text, HAN_PAIRS, " $1$2 "), r"(\p{IsHan})(?!\p{IsHan})", "$1 ")
+    apart = F.when(text.rlike(r"\p{IsHan}"), apart).otherwise(text)
+    return F.coalesce(F.regexp_extract_all(folded(apart), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def is_stop_word(term: Column) -> Column:
@@ -39,16 +48,41 @@ def positions(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
     return rows.select(id_col, F.posexplode(tokens(text)).alias("pos", "term"))
 
 
-def query_terms(queries: DataFrame, document_frequency: DataFrame, n_documents: DataFrame, max_terms: int = 14) -> DataFrame:
-    """(query_id, pos, term): each query's terms of largest tf-idf that aren't stop words, first come first of equals.
+def query_terms(queries: DataFrame, document_frequency: DataFrame, n_documents: DataFrame, max_terms: int = 14, least_chars: int = 1) -> DataFrame:
+    """(query_id, pos, term): of each query's max_terms terms of largest tf-idf those that aren't stop words, first come
+    first of equals.
 
-    document_frequency: (term, df); n_documents: one row (n). Unseen terms have df 0. A query with fewer than two
-    such terms keeps all that aren't stop words, in order; one without any is its own term, trimmed."""
-    seen = positions(queries.select("query_id", "text"), "query_id", F.col("text"))
-    counted = seen.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first")).where(~is_stop_word(F.col("term")))
+    document_frequency: (term, df); n_documents: one row (n). Unseen terms have df 0. A query with fewer than two such
+    terms has its first max_terms tokens that aren't stop words, in order and as often as they stand; one without any is
+    its own term, trimmed. Terms shorter than least_chars count as stop words."""
+    seen = cut(positions(queries.select("query_id", "text"), "query_id", F.col("text")))
+    counted = seen.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first"))
     weighed = counted.join(document_frequency, "term", "left").crossJoin(F.broadcast(n_documents.select("n")))  # one row
     weight = F.round(F.col("tf") * F.log((F.col("n") + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)), 9)
-    ranked = weighed.withColumn("weight", weight).withColumn("pos", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, first)"))
-    best = ranked.where(F.col("pos") <= max_terms).select("query_id", "pos", "term")
-    bare = queries.join(best.select("query_id").distinct(), "query_id", "left_anti").where(F.trim("text") != "")
-    return best.unionByName(bare.select("query_id", F.lit(1).alias("pos"), F.trim("text").alias("term")))
+    kept = ~is_stop_word(F.col("term")) & (F.length("term") >= least_chars)
+    best = weighed.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(weight.desc(), "first")))
+    best = cut(best.where((F.col("place") <= max_terms) & kept).select("query_id", "place", "term"))
+    enough = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("query_id")
+    number = lambda d, by: d.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(by))).where(F.col("pos") <= max_terms).select("query_id", "pos", "term")
+    tfidf = number(best.join(enough, "query_id", "left_semi"), "place")
+    plain = number(seen.withColumnRenamed("pos", "at").join(enough, "query_id", "left_anti").where(kept), "at")
+    held = tfidf.unionByName(plain)
+    bare = queries.join(enough, "query_id", "left_anti").join(seen.where(kept).select("query_id").distinct(), "query_id", "left_anti").where(F.trim("text") != "")
+    return held.unionByName(bare.select("query_id", F.lit(1).alias("pos"), F.trim("text").alias("term")))
+
+
+def fast_terms(queries: DataFrame, document_frequency: DataFrame, n_documents: DataFrame, max_terms: int = 14) -> DataFrame:
+    """query_terms of the quick path: terms of a single character never count."""
+    return query_terms(queries, document_frequency, n_documents, min(14, max_terms), least_chars=2)
+
+
+def rank_keywords(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, pos, term): what rerank and substring search look for. A query's terms if it has two or more; else its
+    distinct tokens of two characters or more that aren't stop words, in order; else its text, trimmed."""
+    enough = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("query_id")
+    own = terms.join(enough, "query_id", "left_semi").select("query_id", "pos", "term")
+    short = queries.join(enough, "query_id", "left_anti")
+    words = positions(short.select("query_id", "text"), "query_id", F.col("text")).where((F.length("term") >= 2) & ~is_stop_word(F.col("term")))
+    words = words.groupBy("query_id", "term").agg(F.min("pos").alias("first")).withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy("first")))
+    bare = short.join(words.select("query_id").distinct(), "query_id", "left_anti").where(F.trim("text") != "")
+    return own.unionByName(words.select("query_id", "pos", "term")).unionByName(bare.select("query_id", F.lit(1).alias("pos"), F.trim("text").alias("term")))

@@ -1,53 +1,91 @@
-"""Full-text ranking over an inverted index of (term, chunk_id, tf) with positions."""
+"""Full-text ranking over an inverted index of (term, chunk_id, tf, positions).
+
+The index is written once per version of a corpus, in the order of its terms, and read by every batch of questions: a
+batch reads the shards of its terms only, and positions only for phrases."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.config import RetrievalConfig
 from folioscope.functions.analysis import positions, tokens
-from folioscope.session import cut
+from folioscope.session import checkpoint_dir
 
 K1, B = 1.2, 0.75  # fixed values of the ranking function
 
 
+SHARDS = 64  # folders of the stored postings
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    """places (chunk_id, pos, term), lengths (chunk_id, dl), totals (n, avgdl: one row)."""
+    """postings (shard, term, chunk_id, tf, positions), frequencies (term, df), lengths (chunk_id, dl), totals (n, avgdl: one row)."""
 
-    places: DataFrame
+    postings: DataFrame
+    frequencies: DataFrame
     lengths: DataFrame
     totals: DataFrame
 
     def document_frequency(self) -> DataFrame:
-        return self.places.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
+        return self.frequencies
 
 
-def stored(index: LexicalIndex) -> LexicalIndex:
-    """The index with its tables written once, for the many readers of a corpus version."""
-    return LexicalIndex(cut(index.places), cut(index.lengths), cut(index.totals))
+def shard_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
 
 
 def build_index(chunks: DataFrame, span_chars: int = 0) -> LexicalIndex:
     """Index of (chunk_id, text); only the first span_chars characters if that is positive. Built from live chunks, so nothing stale counts."""
     text = F.substring("text", 1, span_chars) if span_chars else F.col("text")
+    places = positions(chunks, "chunk_id", text)
+    postings = places.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    postings = postings.select(shard_of(F.col("term")).alias("shard"), "term", "chunk_id", "tf", "positions")
     lengths = chunks.select("chunk_id", F.size(tokens(text)).cast("long").alias("dl"))
-    return LexicalIndex(positions(chunks, "chunk_id", text), lengths, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return LexicalIndex(postings, frequencies, lengths, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def write_index(index: LexicalIndex, path: str) -> None:
+    """Writes the tables below path. Postings are ranged by shard, term and chunk, so a frequent term is dealt to several
+    files and each file holds few shards; the other tables come from what is written."""
+    order = ["shard", "term", "chunk_id"]
+    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    held = index.postings.sparkSession.read.parquet(f"{path}/postings")
+    held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = index.postings.sparkSession.read.parquet(f"{path}/lengths")
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def read_index(spark: SparkSession, path: str) -> LexicalIndex:
+    return LexicalIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "lengths", "totals")])
+
+
+def stored(index: LexicalIndex, path: str | None = None) -> LexicalIndex:
+    """The index written under path (default: a new one in the shared folder) and read from there."""
+    spark = index.postings.sparkSession
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    write_index(index, path)
+    return read_index(spark, path)
 
 
 def matches(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     """(query_id, term_no, chunk_id, tf) for terms (query_id, pos, term). A term of several tokens is a phrase.
 
-    A phrase stands where its tokens' positions less their offsets agree; one join finds words and phrases alike."""
+    A phrase stands where its tokens' positions less their offsets agree."""
     parts = terms.select("query_id", F.col("pos").alias("term_no"), F.posexplode(tokens(F.col("term"))).alias("offset", "token"), F.size(tokens(F.col("term"))).alias("n"))
-    found = index.places.join(parts, index.places["term"] == parts["token"]).select("query_id", "term_no", "chunk_id", (F.col("pos") - F.col("offset")).alias("at"), "n")
-    single = found.where("n = 1").groupBy("query_id", "term_no", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    whole = found.where("n > 1").groupBy("query_id", "term_no", "chunk_id", "at", "n").agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
-    return single.unionByName(whole.groupBy("query_id", "term_no", "chunk_id").agg(F.count(F.lit(1)).alias("tf")))
+    parts = parts.withColumnRenamed("token", "term").withColumn("shard", shard_of(F.col("term")))
+    single = index.postings.select("shard", "term", "chunk_id", "tf").join(parts.where("n = 1").drop("offset", "n"), ["shard", "term"])
+    spots = index.postings.select("shard", "term", "chunk_id", "positions").join(parts.where("n > 1"), ["shard", "term"])
+    spots = spots.select("query_id", "term_no", "chunk_id", "n", "offset", F.explode("positions").alias("at")).withColumn("at", F.col("at") - F.col("offset"))
+    whole = spots.groupBy("query_id", "term_no", "chunk_id", "at", "n").agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
+    phrases = whole.groupBy("query_id", "term_no", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    return single.select("query_id", "term_no", "chunk_id", "tf").unionByName(phrases)
 
 
 def bm25(index: LexicalIndex, terms: DataFrame) -> DataFrame:
@@ -114,7 +152,7 @@ def like_fallback(chunks: DataFrame, terms: DataFrame, top_k: int, limit: int =
     words = keyword_lists(terms)
     like = "IF(k RLIKE '[%_]', low LIKE concat('%', lower(k), '%'), contains(low, lower(k)))"
     low = chunks.withColumn("low", F.lower("text"))
-    found = low.join(F.broadcast(words), F.expr(f"exists(keywords, k -> {like})")).drop("low")  # a set of queries, whose caller bounds it
+    found = low.join(words, F.expr(f"exists(keywords, k -> {like})")).drop("low")  # the planner broadcasts queries that are few
     first = ranked(found, max(1, min(2000, limit)), F.col("chunk_id"), name="scan_rank")
     count = F.expr("aggregate(keywords, 0L, (s, k) -> s + (length(text) - length(replace(text, k, ''))) div length(k))")
     scored = rerank(first.withColumn("bm25", -count.cast("double")), config)

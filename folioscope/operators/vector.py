@@ -4,10 +4,16 @@ Similarities are computed in double precision and rounded to six digits before t
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.session import cut
+
 DIGITS = 6
 
 
@@ -38,15 +44,58 @@ def of_model(vectors: DataFrame, model: str, dim: int) -> DataFrame:
     return wide.crossJoin(F.broadcast(none)).where((F.col("owned") == 0) | (F.col("model") == model)).drop("owned")
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, top_k: int, eps: float = 1e-3) -> DataFrame:
+def _blocks(rows: DataFrame, id_col: str, size: int, eps: float) -> DataFrame:
+    """(width, ids, matrix): up to `size` unit vectors of one width as a matrix of doubles in bytes. Null vectors are left out."""
+
+    def pack(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        held: dict[int, list] = {}
+
+        def block(width: int) -> pd.DataFrame:
+            part = held.pop(width)
+            m = np.array([v for _, v in part], dtype=float).reshape(len(part), width)
+            n = np.sqrt((m * m).sum(axis=1))
+            n[(np.abs(n - 1) < eps) | (n < 1e-12)] = 1.0
+            return pd.DataFrame({"width": [width], "ids": [[i for i, _ in part]], "matrix": [(m / n[:, None]).tobytes()]})
+
+        for pdf in it:
+            for i, v in zip(pdf["id"], pdf["embedding"]):
+                held.setdefault(len(v), []).append((i, v))
+                if len(held[len(v)]) == size:
+                    yield block(len(v))
+        for width in list(held):
+            yield block(width)
+
+    some = rows.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding")
+    return some.mapInPandas(pack, "width int, ids array<long>, matrix binary")
+
+
+def _block_best(top_k: int):
+    """For mapInPandas over pairs of blocks: each query's top_k of the block's vectors."""
+
+    def best(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in it:
+            for width, ids, matrix, q_ids, q_matrix in zip(*[pdf[c] for c in ("width", "ids", "matrix", "q_ids", "q_matrix")]):
+                v, q = (np.frombuffer(m, dtype=float).reshape(-1, width) for m in (matrix, q_matrix))
+                near = np.round(q @ v.T, DIGITS)
+                k = min(top_k, len(v))
+                for i, row in zip(q_ids, near):
+                    least = np.partition(row, len(v) - k)[len(v) - k]
+                    some = np.flatnonzero(row >= least)  # with all ties of the last
+                    some = some[np.lexsort((ids[some], -row[some]))][:k]
+                    yield pd.DataFrame({"query_id": i, "chunk_id": ids[some], "similarity": row[some]})
+
+    return best
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, top_k: int, eps: float = 1e-3, query_block: int = 512, vector_block: int = 4096) -> DataFrame:
     """(query_id, chunk_id, similarity, rank) of each query's top_k nearest chunks; ties go to the smaller chunk_id.
 
-    queries: (query_id, embedding), a batch that the caller bounds; each executor scores its part of the vectors
-    against it, and only top_k rows of each query leave a task before the last ranking."""
-    q = F.broadcast(queries.select("query_id", unit(F.col("embedding"), eps).alias("q"), F.size("embedding").alias("width")))
-    v = vectors.select("chunk_id", unit(F.col("embedding"), eps).alias("v"))
-    pairs = v.join(q, F.size("v") == F.col("width"))
-    scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), DIGITS).alias("similarity"))
+    queries: (query_id, embedding). Blocks of queries meet blocks of vectors of their width as matrix products; of each
+    meeting only top_k rows of a query go on to the last ranking."""
+    q = _blocks(queries, "query_id", query_block, eps).withColumnsRenamed({"width": "q_width", "ids": "q_ids", "matrix": "q_matrix"})
+    pairs = _blocks(vectors, "chunk_id", vector_block, eps).join(q, F.col("width") == F.col("q_width"))
+    scored = pairs.mapInPandas(_block_best(top_k), "query_id long, chunk_id long, similarity double")
+    scored = scored.withColumn("similarity", F.round("similarity", DIGITS))
     order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("chunk_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
@@ -58,16 +107,22 @@ def ivf_build(vectors: DataFrame, n_clusters: int, seed: int = 42) -> tuple[Data
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    spark = vectors.sparkSession
-    k = min(n_clusters, vectors.count() // 2)
+    spark, n = vectors.sparkSession, vectors.count()
+    k = min(n_clusters, n // 2)
     rows = vectors.select("chunk_id", "embedding", array_to_vector(unit(F.col("embedding"))).alias("features"))
-    if k < 1 or n_clusters * 2 > vectors.count():
+    if k < 1 or n_clusters * 2 > n:
         return spark.createDataFrame([], "cluster int, centroid array<double>"), vectors.select("chunk_id", F.lit(None).cast("int").alias("cluster"), "embedding").limit(0)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
     centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centroid array<double>")
     return centroids, model.transform(rows).select("chunk_id", "cluster", "embedding")
 
 
+def ivf_build_models(vectors: DataFrame, n_clusters: int, seed: int = 42) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """ivf_build for each model of (chunk_id, model, embedding); a corpus has a handful of models."""
+    models = [r["model"] for r in vectors.select("model").distinct().collect()]
+    return {m: ivf_build(vectors.where(F.col("model").eqNullSafe(F.lit(m))), n_clusters, seed) for m in models}
+
+
 def centroids_by_label(vectors: DataFrame, label: str = "cluster") -> DataFrame:
     """(cluster, centroid): the mean vector of each label."""
     each = vectors.select(F.col(label).alias("cluster"), F.posexplode("embedding").alias("i", "x"))
@@ -75,29 +130,53 @@ def centroids_by_label(vectors: DataFrame, label: str = "cluster") -> DataFrame:
     return means.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).select("cluster", F.col("c.x").alias("centroid"))
 
 
-def ivf_probe(queries: DataFrame, centroids: DataFrame, assigned: DataFrame, top_k: int, probes: int = 3) -> DataFrame:
-    """Exact scores within each query's `probes` nearest clusters (Euclidean distance); a query without candidates has no rows.
+def ivf_probe(queries: DataFrame, centroids: DataFrame, assigned: DataFrame, top_k: int, probes: int = 3, everything: DataFrame | None = None) -> DataFrame:
+    """Exact scores within each query's `probes` nearest clusters (Euclidean distance).
 
-    Vectors partitioned by cluster are pruned by this join."""
+    A query without candidates is searched for in `everything` (chunk_id, embedding), if that is given; else it has no
+    rows. Vectors partitioned by cluster are pruned by this join."""
     q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
     gap = F.round(F.sqrt(F.aggregate(F.zip_with("q", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), DIGITS)
     near = q.crossJoin(F.broadcast(centroids)).withColumn("gap", gap)  # as many centroids as clusters
     near = near.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("gap", "cluster"))).where(F.col("n") <= probes)
-    pairs = assigned.join(F.broadcast(near.select("query_id", "cluster", "q")), "cluster")
+    pairs = assigned.join(near.select("query_id", "cluster", "q"), "cluster")
     scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("q"), unit(F.col("embedding"))), DIGITS).alias("similarity"))
     order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("chunk_id"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    found = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    if everything is None:
+        return found
+    found = cut(found)
+    return found.unionByName(vector_topk(queries.join(found.select("query_id").distinct(), "query_id", "left_anti"), everything, top_k))
 
 
-def encode(rows: DataFrame, encoder, text_col: str = "text", model: str = "hook") -> DataFrame:
-    """Adds embedding, dim and model by a model's batch function of texts; texts it fails on get a null vector."""
-    import pandas as pd
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query_id, recall): the share of the exact results (query_id, chunk_id) that were found."""
+    both = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return both.groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
+def imported(rows: DataFrame, blob_col: str = "vec") -> DataFrame:
+    """rows with embedding and dim decoded from little-endian float32 bytes; bytes of another length than 4 times a whole number give null."""
 
     @F.pandas_udf("array<float>")
-    def embedded(t: pd.Series) -> pd.Series:
+    def decoded(blobs: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4") for b in blobs])
+
+    return rows.withColumn("embedding", decoded(F.col(blob_col))).withColumn("dim", F.size("embedding"))
+
+
+def encode(rows: DataFrame, encoder, text_col: str = "text", model: str = "hook") -> DataFrame:
+    """Adds embedding, dim, model and encode_error by a model's batch function of texts.
+
+    Where it fails on a batch, the batch's vectors are null and encode_error says why, so the index can be built without."""
+
+    @F.pandas_udf("embedding array<float>, encode_error string")
+    def embedded(t: pd.Series) -> pd.DataFrame:
         try:
-            return pd.Series([None if v is None else [float(x) for x in v] for v in encoder(t.tolist())])
-        except Exception:  # the index is built without the batch's vectors, as without a model
-            return pd.Series([None] * len(t))
+            out = [None if v is None else [float(x) for x in v] for v in encoder(t.tolist())]
+            return pd.DataFrame({"embedding": out, "encode_error": None})
+        except Exception as e:
+            return pd.DataFrame({"embedding": [None] * len(t), "encode_error": f"{type(e).__name__}: {e}"})
 
-    return rows.withColumn("embedding", embedded(F.col(text_col))).withColumns({"dim": F.size("embedding"), "model": F.lit(model)})
+    found = rows.withColumn("__e", embedded(F.col(text_col)))
+    return found.withColumns({"embedding": F.col("__e.embedding"), "dim": F.size("__e.embedding"), "model": F.lit(model), "encode_error": F.col("__e.encode_error")}).drop("__e")

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.config import RetrievalConfig
+from folioscope.functions.analysis import fast_terms
 from folioscope.operators import cache, evaluate, fusion, graph, ingest, lexical, vector
 from folioscope.plans import retrieve
 from folioscope.plans.registry import Corpus, query
+from folioscope.session import cut
 from folioscope.plans.sql import DOC_QUESTIONS, QUESTIONS, base, cos, thinned, toks, trim
 
 TOP = 10
@@ -156,15 +158,7 @@ def retrieve_full(c: Corpus) -> DataFrame:
 @query()
 def fast_retrieve(c: Corpus) -> DataFrame:
     q = c.document_questions
-    return retrieve.retrieve_fast(c.index, c.chunks, c.vectors, q, c.terms_of(q), TOP)
-
-
-_ALL_RANKED = "ranked AS (SELECT 0 AS query_id, doc_id AS chunk_id, source AS path, text, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS rank FROM documents)"
-
-
-def _all_ranked(c: Corpus) -> DataFrame:
-    """Every document as a candidate of one query, by id; ids are dense, so the id gives the rank."""
-    return c.table("documents").select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), "text", (F.col("doc_id") + 1).cast("int").alias("rank"))
+    return retrieve.retrieve_fast(c.index, c.chunks, c.vectors, q, cut(fast_terms(q, c.frequencies, c.index.totals)), TOP)
 
 
 @query(rf"""SELECT min(doc_id) AS chunk_id, count(*) AS n FROM documents GROUP BY {trim('substr(text, 1, 160)')}""")

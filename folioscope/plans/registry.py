@@ -33,6 +33,9 @@ def query(sql: str | None = None):
     return add
 
 
+_INDEXES: dict[tuple[str, str], lexical.LexicalIndex] = {}
+
+
 class Corpus:
     """The test tables as an index: a document is one chunk, its source the path; benchmark passages are the questions."""
 
@@ -49,7 +52,11 @@ class Corpus:
 
     @cached_property
     def index(self) -> lexical.LexicalIndex:
-        return lexical.stored(lexical.build_index(self.table("documents").select(F.col("doc_id").alias("chunk_id"), "text")))
+        """The index of the folder's documents, written by the first query of an application that needs it and read by all."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _INDEXES:
+            _INDEXES[key] = lexical.stored(lexical.build_index(self.table("documents").select(F.col("doc_id").alias("chunk_id"), "text")))
+        return _INDEXES[key]
 
     @cached_property
     def frequencies(self) -> DataFrame:

@@ -64,11 +64,13 @@ def retrieve(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame,
 
 
 def retrieve_fast(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, terms: DataFrame, top_k: int = 4, root: str | None = None, clusters: tuple[DataFrame, DataFrame] | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """(query_id, chunk_id, path, rank): both candidate lists, fused where there are vector hits, scoped and thinned in one pass."""
+    """(query_id, chunk_id, path, rank): both candidate lists, fused where there are vector hits, scoped and thinned in one pass.
+
+    terms: those of analysis.fast_terms."""
     n = 2 * top_k
     fts = lexical.fts_pool(index, chunks, terms, min(200, max(n * config.oversample, n)), config)
     asked = queries.where("embedding IS NOT NULL")
-    near = vector.vector_topk(asked, vectors, n, config.unit_eps) if clusters is None else vector.ivf_probe(asked, *clusters, n)
+    near = vector.vector_topk(asked, vectors, n, config.unit_eps) if clusters is None else vector.ivf_probe(asked, *clusters, n, everything=vectors)
     fused = fusion.rrf_merge(fts, near, config.rrf_k, n).select("query_id", "chunk_id", "rank")
     fused = fused.join(near.select("query_id").distinct(), "query_id", "left_semi")
     plain = fts.join(near.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "chunk_id", "rank")

@@ -30,9 +30,14 @@ def base(questions: str = QUESTIONS, pool: int = 40) -> str:
     totals AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths),
     dfreq AS (SELECT term, count(DISTINCT chunk_id) AS df FROM ctok GROUP BY term),
     qtok AS (SELECT query_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS term FROM (SELECT query_id, {toks('text')} AS l FROM questions)),
-    qcount AS (SELECT query_id, term, count(*) AS tf, min(pos) AS first FROM qtok WHERE term NOT IN {STOP} GROUP BY query_id, term),
+    qcount AS (SELECT query_id, term, count(*) AS tf, min(pos) AS first FROM qtok GROUP BY query_id, term),
     qweight AS (SELECT query_id, term, first, round(tf * ln((n + 1.0) / (coalesce(df, 0) + 0.5)), 9) AS weight FROM qcount LEFT JOIN dfreq USING (term) CROSS JOIN totals),
-    terms AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, first) AS INTEGER) AS pos, term FROM qweight) WHERE pos <= 14),
+    qbest AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, first) AS place, term FROM qweight) WHERE place <= 14 AND term NOT IN {STOP}),
+    qenough AS (SELECT query_id FROM qbest GROUP BY query_id HAVING count(*) >= 2),
+    qplain AS (SELECT query_id, pos AS place, term FROM qtok WHERE term NOT IN {STOP} AND query_id NOT IN (SELECT query_id FROM qenough)),
+    terms AS (SELECT query_id, pos, term FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) AS INTEGER) AS pos, term FROM
+        (SELECT * FROM qbest WHERE query_id IN (SELECT query_id FROM qenough) UNION ALL SELECT * FROM qplain)) WHERE pos <= 14
+        UNION ALL SELECT query_id, 1, trim(text) FROM questions WHERE trim(text) <> '' AND query_id NOT IN (SELECT query_id FROM qenough) AND query_id NOT IN (SELECT query_id FROM qplain)),
     kw AS (SELECT query_id, list(term ORDER BY pos) AS keywords FROM terms GROUP BY query_id),
     hits AS (SELECT t.query_id, t.pos AS term_no, c.chunk_id, count(*) AS tf FROM terms t JOIN ctok c ON c.term = t.term GROUP BY ALL),
     tdf AS (SELECT query_id, term_no, count(*) AS df FROM hits GROUP BY ALL),
