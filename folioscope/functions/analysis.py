@@ -34,7 +34,8 @@ def tokens(text: Column) -> Column:
     """Letters and digits in a row, in lower case and without accents; an empty array for a null text.
 
     Han runs give their pairs, so words of two characters are found and longer ones are phrases of pairs."""
-    apart = F.regexp_replace(F.regexp_replace(text, HAN_PAIRS, " $1$2 "), r"(\p{IsHan})(?!\p{IsHan})", "$1 ")
+    lone = F.regexp_replace(text, r"(?<!\p{IsHan})(\p{IsHan})(?!\p{IsHan})", " $1 ")
+    apart = F.regexp_replace(lone, HAN_PAIRS, " $1$2 ")
     apart = F.when(text.rlike(r"\p{IsHan}"), apart).otherwise(text)
     return F.coalesce(F.regexp_extract_all(folded(apart), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 

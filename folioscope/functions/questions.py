@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marks of questions about code, and characters of small talk.
@@ -39,6 +42,40 @@ def vague(text: Column, substantive: Column) -> Column:
     return F.when(q == "", False).otherwise((F.length(q) < 14) | (substantive < 2) | asking)
 
 
+def rewritten(queries: DataFrame, vague_col: str, rewrite: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
+    """Adds search_text and rewrite (null: none) to (query_id, text, vague): a language model's rewriting of vague questions.
+
+    rewrite answers a batch of questions; the first line of an answer counts, if it isn't blank or the question itself.
+    Without a model, questions stay as they are."""
+    text = trimmed(F.col("text"))
+    if rewrite is None:
+        return queries.withColumns({"search_text": text, "rewrite": F.lit(None).cast("string")})
+
+    @F.pandas_udf("string")
+    def answered(asked: pd.Series) -> pd.Series:
+        some = [x for x in asked if x]
+        said = dict(zip(some, rewrite(some))) if some else {}
+        lines = [((said.get(x) or "").splitlines() or [""])[0].strip() if x else "" for x in asked]
+        return pd.Series([a if a and a != x else None for a, x in zip(lines, asked)], dtype=object)
+
+    found = queries.withColumn("rewrite", answered(F.when(F.col(vague_col), text)))
+    return found.withColumn("search_text", F.coalesce("rewrite", text))
+
+
+def chatted(prompts: DataFrame, chat: Callable[[list[str]], list[str]], prompt_col: str = "prompt") -> DataFrame:
+    """Adds answer and chat_error by a language model's batch function of prompts; a batch that fails has an error each."""
+
+    @F.pandas_udf("answer string, chat_error string")
+    def answered(asked: pd.Series) -> pd.DataFrame:
+        try:
+            return pd.DataFrame({"answer": pd.Series(chat(asked.tolist()), dtype=object), "chat_error": None})
+        except Exception as e:
+            return pd.DataFrame({"answer": None, "chat_error": [f"{type(e).__name__}: {e}"] * len(asked)})
+
+    found = prompts.withColumn("__a", answered(F.col(prompt_col)))
+    return found.withColumns({"answer": F.col("__a.answer"), "chat_error": F.col("__a.chat_error")}).drop("__a")
+
+
 def match_string(terms: Column) -> Column:
     """Quoted terms joined by OR; quotes inside terms go."""
     return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit("")), F.lit('"'))), " OR ")

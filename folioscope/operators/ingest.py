@@ -78,6 +78,24 @@ def metadata_json(title: Column, path: Column, ext: Column) -> Column:
     return F.to_json(F.struct(title.alias("doc_title"), path.alias("rel_path"), ext.alias("ext")))
 
 
+def metadata(meta_json: Column) -> Column:
+    """The fields of a metadata string; an empty map where it is null, blank or no JSON object."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.when(F.trim(F.coalesce(meta_json, F.lit(""))).startswith("{"), F.coalesce(F.from_json(meta_json, "map<string,string>"), empty)).otherwise(empty)
+
+
+def contained(path: Column, root: str) -> Column:
+    """Whether a path, once its . and .. are gone, is below the root; a path that leaves the root on its way isn't."""
+    steps = F.filter(F.split(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)), r"[/\\\\]"), lambda s: ~s.isin("", "."))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
+    return F.concat(F.lit("/"), F.array_join(walked, "/")).startswith("/" + root.strip("/") + "/")
+
+
+def page(rows: DataFrame, limit: int, offset: int = 0, *order: str) -> DataFrame:
+    """`limit` rows from the offset on, by the given columns."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1)
 

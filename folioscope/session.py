@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -15,14 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset one of our own (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a context's own. Where neither is set, a local master gets
+    a temporary folder; on a cluster that is an error, as executors wouldn't see each other's files."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or _local_folder())
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def _local_folder() -> str:
+    """A folder for intermediate tables of a local session, gone when the process ends."""
+    path = tempfile.mkdtemp(prefix="folioscope-checkpoint-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder; lineage ends there, so lost executors cost nothing."""
     checkpoint_dir(df.sparkSession)

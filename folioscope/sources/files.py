@@ -7,6 +7,7 @@ import posixpath
 import zipfile
 from collections.abc import Iterable
 from html.parser import HTMLParser
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,12 +20,25 @@ IGNORED_NAMES = ("requirements-kb.txt", "requirements.txt")
 ENCODINGS = ("utf-8", "gb18030", "gbk", "big5")
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, ext, mtime, fsize, sha256, content) of the readable books under root, without hidden lock files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def described(files: DataFrame) -> DataFrame:
+    """(path, ext, mtime, fsize, sha256, content) of the readable books among files (path, modificationTime, length, content)."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     found = files.withColumn("ext", F.regexp_extract(name, r"(\.[^.]*)$", 1)).where(F.col("ext").isin(*EXTENSIONS) & ~name.startswith("~$") & ~name.isin(*IGNORED_NAMES))
-    return found.select("path", "ext", F.unix_micros("modificationTime").cast("double").alias("micros"), F.col("length").alias("fsize"), F.sha2("content", 256).alias("sha256"), "content").withColumn("mtime", F.col("micros") / 1e6).drop("micros")
+    mtime = F.unix_micros("modificationTime").cast("double") / 1e6
+    return found.select("path", "ext", mtime.alias("mtime"), F.col("length").alias("fsize"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+def scan_files(spark: SparkSession, root: str) -> DataFrame:
+    """`described` files below root, without hidden lock files. Rows have no order; orderBy("path") gives that of a sorted scan."""
+    return described(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
+
+
+def library_root(named: str | None, remembered: str | None, default: str) -> str:
+    """The folder of books: the first of both that is an existing folder, else the default."""
+    for path in (named, remembered):
+        if path and path.strip() and (place := Path(path.strip()).expanduser()).is_dir():
+            return str(place.resolve())
+    return default
 
 
 def decode_text(raw: bytes) -> str:
@@ -85,7 +99,9 @@ def read_pdf(raw: bytes) -> tuple[str, str]:
     """(title, text) of a PDF's pages, parted by empty lines; needs a PDF reader to be installed."""
     from pypdf import PdfReader
 
-    return "", "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages)
+    pdf = PdfReader(io.BytesIO(raw))
+    title = (pdf.metadata.title if pdf.metadata else None) or ""
+    return title.strip(), "\n\n".join(p.extract_text() or "" for p in pdf.pages)
 
 
 def parse_files(files: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from folioscope.plans.reconcile import reconcile
+from folioscope.sources.files import described, parse_files
+
 
 def watch(spark: SparkSession, root: str, checkpoint: str, on_files: Callable[[DataFrame, int], None], pattern: str = "*.txt", trigger: dict | None = None) -> StreamingQuery:
     """Calls on_files with each batch of new files (path, modificationTime, length, content).
@@ -16,6 +19,11 @@ def watch(spark: SparkSession, root: str, checkpoint: str, on_files: Callable[[D
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(on_files).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def index_new_files(spark: SparkSession, root: str, library_root: str, checkpoint: str, pattern: str = "*.txt", **options) -> StreamingQuery:
+    """Reconciles the library with each batch of new files. A batch that comes again finds its files known and skips them."""
+    return watch(spark, root, checkpoint, lambda batch, _: reconcile(spark, library_root, parse_files(described(batch)), full=False, **options), pattern)
+
+
 def deduplicated_questions(questions: DataFrame, ttl: str = "1 hour") -> DataFrame:
     """A stream of (query_hash, ts, ...) without repeats within the time to live."""
     return questions.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["query_hash"])
