@@ -44,7 +44,7 @@ def marked(rows: DataFrame, hashes: DataFrame, bits: int) -> DataFrame:
     The prefixes are bits of at most 2^(bits - 6) words, which are broadcast."""
     at = prefix(F.col("h"), bits)
     words = hashes.select(F.shiftright(at, 6).alias("__word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, %d) & 63 as int))" % (64 - bits)).alias("bit"))
-    words = cut(words.groupBy("__word").agg(F.bit_or("bit").alias("__bits")))
+    words = words.groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
     found = rows.withColumn("__word", F.shiftright(at, 6)).join(F.broadcast(words), "__word")
     return found.where(F.expr("(shiftrightunsigned(__bits, cast(shiftrightunsigned(h, %d) & 63 as int)) & 1) = 1" % (64 - bits))).drop("__word", "__bits")
 
@@ -88,7 +88,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(cells, index). cells: the directory, at most 2^max_depth rows. index, files in the shared folder written bucket by
     bucket: depth, bucket, h, digest, keep_id, group_size."""
     hashes, found = entries(docs, id_col, text_col, spec)
-    cells = cut(directory(hashes, spec))
+    cells = cut(directory(hashes, spec).repartition(8))  # a bounded table: few files
     owned = located(found, cells, spec).repartition("depth", "bucket").sortWithinPartitions("depth", "bucket", "h", "digest")
     return cells, written(owned.select("depth", "bucket", "h", "digest", "keep_id", "group_size"), "exact-index")
 
