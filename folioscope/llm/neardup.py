@@ -310,7 +310,9 @@ def near_groups(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), id_col: str
     """doc_id, n_shingles, component_id, kept; one row per row of docs.
 
     Null, empty and blank texts have no shingles and link with nothing; so do rows without an id, which stay
-    (component_id null). Repeated rows share a component, and each that has its smallest id is marked kept."""
+    (component_id null). Repeated rows share a component, and each that has its smallest id is marked kept; different
+    texts under one id are that id's, and so one component. Very long texts are read whole. Only id and text are read,
+    so no other column can clash. An empty table gives an empty result."""
     ship_package(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     signed = written(slim.mapInPandas(signer(spec), SIGNATURE), "near-signatures")

@@ -52,7 +52,9 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = sharding.shard(docs, n_shards=8, map_path=shared_path(spark, "slot-map"))
+    path = shared_path(spark, "slot-map")
+    sharding.SlotMap.initial(8, 4096).save(spark, path)  # version 0; balancing edits it to version 1
+    placed = sharding.shard(docs, n_shards=8, before=sharding.SlotMap.load(spark, path), map_path=path)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 

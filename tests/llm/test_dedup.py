@@ -105,6 +105,26 @@ def test_near_groups_of_nothing_and_without_ids(spark):
     assert neardup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_rows_repeated_under_one_id_and_very_long_texts(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(1, " ".join(words))] * 4 + [(2, " ".join(words[:-1]) + " other")] * 3 + [(3, "a b c d e f g")] * 2 + [(3, "p q r s t u v")] + [(4, "A b c d e f g")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 29_996, 1), (2, 29_996, 1), (3, 3, 3), (4, 3, 3)}
+
+
+def test_links_away_from_the_hub_are_found(spark):
+    rng, base = random.Random(3), [f"b{i}" for i in range(120)]
+    texts = {}
+    for i in range(150):  # copies with a few or many own words, so that many aren't near their hubs but near each other
+        t = list(base)
+        for k in rng.sample(range(12), rng.choice([0, 1, 2, 3, 5])):
+            t[k * 10] = f"own{rng.randrange(2)}-{k}"
+        texts[i] = " ".join(t)
+    spec = neardup.NearDupSpec(shingle_words=4, block=16, block_shingles=1500)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spec).collect()}
+    assert got == brute(texts, 4) and len({c for _, c in got.values()}) > 1
+
+
 def test_chains_contract_to_their_smallest_node(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r["component"] for r in neardup.contract(edges).collect()} == {0}
