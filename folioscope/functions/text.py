@@ -45,8 +45,8 @@ def document_sentences(text: Column) -> Column:
     return F.flatten(F.transform(paragraphs(text), sentences))
 
 
-#: Character references other than the six that built-in functions replace.
-OTHER_REFERENCE = r"&(?!(?:lt|gt|quot|nbsp|amp|#39);)(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+#: Character references other than those that built-in functions replace.
+OTHER_REFERENCE = r"&(?!(?:lt|gt|quot|nbsp|copy|middot|amp|#39);)(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def _unescaped(texts: Column) -> Column:
@@ -62,14 +62,14 @@ def _unescaped(texts: Column) -> Column:
 def html_to_text(html: Column) -> Column:
     """Visible text of a page: without script, style, noscript, nav and comments; tags part lines, each line trimmed.
 
-    What is hidden and never closed hides the rest. Only texts with character references beyond the common six go
-    through Python."""
+    What is hidden and never closed hides the rest. Only texts with character references beyond the common ones
+    go through Python."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?(?:-->|\z)", "")
     for tag in ("script", "style", "noscript", "nav"):
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", "")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", "\n")
     odd, plain = out.rlike(OTHER_REFERENCE), out
-    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(name), F.lit(mark))
     lines = F.filter(F.transform(F.split(F.when(odd, _unescaped(F.when(odd, out))).otherwise(plain), "\n"), trimmed), lambda x: x != "")
     return F.array_join(lines, "\n")

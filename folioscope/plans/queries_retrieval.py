@@ -16,6 +16,13 @@ from folioscope.plans.sql import DOC_QUESTIONS, QUESTIONS, base, cos, thinned, t
 TOP = 10
 
 
+@query(f"""WITH l AS (SELECT doc_id AS chunk_id, unnest({toks('text')}) AS term FROM documents), p AS (SELECT chunk_id, term, count(*) AS tf FROM l GROUP BY ALL)
+    SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS places FROM p GROUP BY term""")
+def index_build(c: Corpus) -> DataFrame:
+    """Writes the index, if no query of this application has; what it holds of each term."""
+    return c.index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("places"))
+
+
 @query(base() + f" SELECT query_id, chunk_id, bm25, bm25_rank FROM pool WHERE bm25_rank <= {TOP}")
 def bm25_topk(c: Corpus) -> DataFrame:
     return lexical.ranked(lexical.bm25(c.index, c.terms), TOP, F.col("bm25"), F.col("chunk_id"), name="bm25_rank")

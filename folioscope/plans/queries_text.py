@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from folioscope.functions import analysis, citations, questions, text
 from folioscope.operators import ingest, lexical
 from folioscope.plans.registry import Corpus, query
 from folioscope.plans.sql import STOP, base, toks, trim
+from folioscope.session import checkpoint_dir
 
 _NORMAL = trim(r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{3000}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
 
@@ -27,11 +30,11 @@ def sentence_split(c: Corpus) -> DataFrame:
 
 
 def _stripped(html: str) -> str:
-    out = rf"regexp_replace({html}, '(?is)<!--.*?-->', '', 'g')"
+    out = rf"regexp_replace({html}, '(?is)<!--.*?(?:-->|\z)', '', 'g')"
     for tag in ("script", "style", "noscript", "nav"):
-        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
+        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)', '', 'g')"
     out = rf"regexp_replace({out}, '(?s)<[^>]*>', chr(10), 'g')"
-    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         out = f"replace({out}, '{name}', '{mark}')"
     return out
 
@@ -203,3 +206,24 @@ def prompt_text(c: Corpus) -> DataFrame:
 @query("""SELECT doc_id, '{"doc_title":"' || lang || '","rel_path":"' || source || '","ext":".txt"}' AS meta FROM documents""")
 def metadata_json(c: Corpus) -> DataFrame:
     return c.table("documents").select("doc_id", ingest.metadata_json(F.col("lang"), F.col("source"), F.lit(".txt")).alias("meta"))
+
+
+_LIBRARY = """first AS (SELECT 'd' || doc_id AS path, 1.0 AS mtime, length(coalesce(text, '')) AS fsize, CASE WHEN lang = 'de' THEN 'old' ELSE md5(coalesce(text, '')) END AS sha256, regexp_matches(coalesce(text, ''), '\\S') AS said FROM documents),
+    then_ AS (SELECT 'd' || doc_id AS path, CASE WHEN lang = 'fr' THEN 9.0 WHEN lang = 'de' THEN 5.0 ELSE 1.0 END AS mtime, length(coalesce(text, '')) AS fsize, md5(coalesce(text, '')) AS sha256 FROM documents WHERE coalesce(source, '') <> 'src1')"""
+
+
+@query(f"""WITH {_LIBRARY} SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'PURGE' WHEN a.path IS NULL THEN 'INSERT'
+    WHEN a.said AND abs(a.mtime - b.mtime) <= 2.0 AND a.fsize = b.fsize THEN 'SKIP' WHEN a.said AND a.sha256 = b.sha256 THEN 'TOUCH' ELSE 'REPLACE' END AS action
+    FROM first a FULL JOIN then_ b ON a.path = b.path""")
+def reconcile(c: Corpus) -> DataFrame:
+    """All documents as files, reconciled twice: then German ones have new texts, French ones new times, and those of src1 are gone."""
+    from folioscope.plans import reconcile as job
+
+    text = F.coalesce("text", F.lit(""))
+    sha, d = F.md5(text.cast("binary")), c.table("documents")
+    at = lambda mtime, sha256: d.select("source", F.concat(F.lit("d"), "doc_id").alias("path"), F.lit(".txt").alias("ext"), mtime.alias("mtime"), F.length(text).cast("long").alias("fsize"),
+                                        sha256.alias("sha256"), F.lit("t").alias("title"), text.alias("text"), F.lit(None).cast("string").alias("error"))
+    root = f"{checkpoint_dir(c.spark).rstrip('/')}/library-{uuid.uuid4().hex}"
+    job.reconcile(c.spark, root, at(F.lit(1.0), F.when(F.col("lang") == "de", "old").otherwise(sha)).drop("source"))
+    later = F.when(F.col("lang") == "fr", 9.0).when(F.col("lang") == "de", 5.0).otherwise(1.0)
+    return job.reconcile(c.spark, root, at(later, sha).where(F.coalesce("source", F.lit("")) != "src1").drop("source")).select("path", "action")
