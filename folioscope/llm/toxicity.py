@@ -28,12 +28,12 @@ from folioscope.session import cut, ship_package
 @dataclass(frozen=True)
 class ToxicitySpec:
     """The fit reads at most sample_docs labelled documents of each class; of a longer document, sample_words words in
-    ten pieces spread evenly over it. Copies don't teach: see distinct_texts."""
+    ten pieces spread evenly over it. Texts that mostly repeat others of their class don't teach: see distinct_texts."""
 
     sample_docs: int = 2500
     sample_words: int = 4000
     window_words: int = 4
-    shared_bytes: int = 1024
+    shared_bytes: int = 512
     own_bytes: int = 1024
     folds: int = 3
     threshold: float = 0.3
@@ -78,12 +78,12 @@ def trained(samples: list[bytes], size: int, segment: int) -> bytes:
 
 
 def distinct_texts(texts: list[list[bytes]]) -> list[list[bytes]]:
-    """Texts of which hardly any three words in a row (a tenth at most) stood in one before; else copies would pass for habits of speech."""
+    """Texts of which at most half of all three words in a row stood in one before; else copies would pass for habits of speech."""
     seen: set[int] = set()
     out = []
     for ws in texts:
         own = {hash((ws[i], ws[i + 1], ws[i + 2])) for i in range(len(ws) - 2)}
-        if len(ws) < 3 or len(own & seen) <= 0.1 * len(own):
+        if len(ws) < 3 or len(own & seen) <= 0.5 * len(own):
             out.append(ws)
         seen |= own
     return out
