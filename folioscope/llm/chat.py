@@ -87,16 +87,16 @@ def _paths(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
 def tree_blocks(paths: DataFrame, block_paths: int) -> DataFrame:
     """paths (path, prefixes, roles, texts: distinct conversations) with trunk and cell, which name each path's block.
 
-    A block holds about block_paths paths at most: below the deepest prefix that more than so many share, its
-    trunk, paths go to cells by the turn after it. So only trunks are written more than once."""
+    A block holds about block_paths paths: below the deepest prefix that more than so many share, its trunk, paths go to
+    cells by the turn after it, and paths below no such prefix by their first turn. So whatever begins alike stands
+    together, and only trunks are written more than once."""
     each = cut(paths.select("path", F.posexplode("prefixes").alias("depth", "prefix")))
     hot = cut(each.groupBy("prefix").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > block_paths))
     trunk = each.join(hot, "prefix").groupBy("path").agg(F.max(F.struct("depth", "prefix", "held")).alias("t"))
     found = paths.join(trunk, "path", "left")
     below = F.get("prefixes", F.coalesce(F.col("t.depth") + 1, F.lit(0)))
-    cells = F.coalesce(F.ceil(F.col("t.held") / block_paths), F.lit(1))
-    return found.select("path", "roles", "texts", F.coalesce("t.prefix", F.get("prefixes", F.lit(0))).alias("trunk"),
-                        F.pmod(F.xxhash64(F.coalesce(below, F.lit(0))), cells).alias("cell"))
+    cells = F.ceil(F.coalesce("t.held", F.lit(paths.count())) / block_paths)
+    return found.select("path", "roles", "texts", F.coalesce("t.prefix", F.lit(0)).alias("trunk"), F.pmod(F.xxhash64(F.coalesce(below, F.lit(0))), cells).alias("cell"))
 
 
 def render_block(pdf: pd.DataFrame) -> pd.DataFrame:
