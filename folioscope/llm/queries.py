@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, cotrain, exactdup, hostrules, mixing, neardup, packing, sharding, toxicity, warc
+from folioscope.llm import chat, cotrain, exactdup, hostrules, mixing, neardup, packing, sharding, toxicity, validtime, warc
 from folioscope.llm.common import shared_path
 from folioscope.session import table
 
@@ -63,10 +63,19 @@ def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "kept")
 
 
+def op12_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validtime.enriched(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_toxicity, op3_warc_history, op4_packing, op5_chat_tree, op6_odd_sketch, op7_exact_dedup, op8_host_rules, op9_virtual_slots, op10_co_training,
+    op12_valid_time,
 )}
 
+# CRC-32 of an id's decimal digits, bit by bit: DuckDB has no such function.
+_CRC_STEP = "xor(CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384 ELSE 0 END, xor(c, b) >> 1)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(change_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: {_CRC_STEP}), 4294967295)"
+
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERY_SQL = {
@@ -112,4 +121,24 @@ QUERY_SQL = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND coalesce(rate <= top, true) AS kept
         FROM b LEFT JOIN r USING (source)""",
+    "op12_valid_time": f"""
+        WITH s AS (SELECT row_number() OVER () AS rid, sale_id, client_id, sold_at, greatest(0, least(7, floor(((arrived_at::DATE - DATE '1970-01-01') - 19723) * 8 / 152)))::INT AS bs FROM sales),
+        c AS (SELECT *, greatest(0, least(7, floor(((valid_at::DATE - DATE '1970-01-01') + {_CRC} % 4 - 19723) * 8 / 152)))::INT AS bc,
+                     floor(100 * balance + 0.5)::BIGINT AS cents
+              FROM (SELECT DISTINCT * FROM client_changes) WHERE valid_at IS NOT NULL),
+        b AS (SELECT unnest(range(9))::INT AS b),
+        sw AS (SELECT b, max(sold_at) - INTERVAL 12 HOUR AS w FROM b LEFT JOIN s ON bs < b GROUP BY b),
+        cw AS (SELECT b, max(valid_at) - INTERVAL 12 HOUR AS w FROM b LEFT JOIN c ON bc < b GROUP BY b),
+        h AS (SELECT b, CASE WHEN sw.w IS NOT NULL AND cw.w IS NOT NULL THEN least(sw.w, cw.w) END AS h, cw.w AS cw FROM sw JOIN cw USING (b)),
+        v AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY valid_at, seq NULLS FIRST, change_id NULLS FIRST, op NULLS FIRST, cents NULLS FIRST) AS k
+              FROM c JOIN h ON b = bc WHERE NOT coalesce(valid_at < cw, false) AND client_id IS NOT NULL),
+        e AS (SELECT s.*, coalesce((SELECT min(b) FROM h WHERE b BETWEEN bs AND 7 AND (sold_at IS NULL OR sold_at < h)), 8) AS e FROM s),
+        held AS (SELECT client_id, e, p.h AS hp, count(*) FILTER (bc <= e) - greatest(0, count(*) FILTER (bc < e AND valid_at <= p.h) - 1) AS n_held,
+                        max(k) FILTER (bc < e AND valid_at <= p.h) AS l
+                 FROM (SELECT DISTINCT client_id, e FROM e) JOIN v USING (client_id) LEFT JOIN h AS p ON p.b = e - 1 GROUP BY client_id, e, p.h),
+        m AS (SELECT rid, max(k) AS k FROM e JOIN held USING (client_id, e) JOIN v USING (client_id)
+              WHERE bc <= e AND valid_at <= sold_at AND (bc = e OR k >= coalesce(l, 0)) GROUP BY rid)
+        SELECT 'sale' AS rec, sale_id AS id, e::INT AS batch, coalesce(n_held, 0) AS n_held, change_id, cents AS balance_cents, op
+        FROM e LEFT JOIN held USING (client_id, e) LEFT JOIN m USING (rid) LEFT JOIN v USING (client_id, k)
+        UNION ALL SELECT 'change', change_id, bc, NULL, NULL, NULL, NULL FROM c JOIN h ON b = bc WHERE valid_at < cw""",
 }

@@ -51,6 +51,6 @@ def test_entry_lists_the_dealt_queries():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if n.startswith("op")]
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14)) and "pipeline" in e.queries()
     assert set(e.oracle_sql()) <= set(e.queries())
     assert importlib.util.find_spec("folioscope.llm")
