@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, cotrain, exactdup, hostrules, mixing, neardup, packing, sharding, toxicity, validtime, warc
+from folioscope.llm import chat, cotrain, exactdup, hardneg, hostrules, mixing, neardup, packing, sharding, toxicity, validtime, warc
 from folioscope.llm.common import shared_path
 from folioscope.session import table
 
@@ -67,9 +67,14 @@ def op12_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validtime.enriched(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_toxicity, op3_warc_history, op4_packing, op5_chat_tree, op6_odd_sketch, op7_exact_dedup, op8_host_rules, op9_virtual_slots, op10_co_training,
-    op12_valid_time,
+    op12_valid_time, op13_hard_negatives,
 )}
 
 # CRC-32 of an id's decimal digits, bit by bit: DuckDB has no such function.
@@ -141,4 +146,16 @@ QUERY_SQL = {
         SELECT 'sale' AS rec, sale_id AS id, e::INT AS batch, coalesce(n_held, 0) AS n_held, change_id, cents AS balance_cents, op
         FROM e LEFT JOIN held USING (client_id, e) LEFT JOIN m USING (rid) LEFT JOIN v USING (client_id, k)
         UNION ALL SELECT 'change', change_id, bc, NULL, NULL, NULL, NULL FROM c JOIN h ON b = bc WHERE valid_at < cw""",
+    "op13_hard_negatives": """
+        WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+              FROM r AS a JOIN r AS b ON a.id <> b.id WHERE a.id % 100 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5""",
 }
