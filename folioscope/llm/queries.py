@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, cotrain, exactdup, hardneg, hostrules, mixing, neardup, packing, sharding, toxicity, validtime, warc
+from folioscope.llm import chat, cotrain, exactdup, hardneg, hostrules, mixing, neardup, packing, sharding, toxicity, urlfilter, validtime, warc
 from folioscope.llm.common import shared_path
 from folioscope.session import table
 
@@ -63,6 +63,14 @@ def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "kept")
 
 
+def op11_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's url is labelled by its document: bad where the quality is 0 or it is toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+    return urlfilter.judge(pages, rules, urlfilter.fit(pages.join(bad, "page_id"))).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op12_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validtime.enriched(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
 
@@ -74,7 +82,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_toxicity, op3_warc_history, op4_packing, op5_chat_tree, op6_odd_sketch, op7_exact_dedup, op8_host_rules, op9_virtual_slots, op10_co_training,
-    op12_valid_time, op13_hard_negatives,
+    op11_url_trees, op12_valid_time, op13_hard_negatives,
 )}
 
 # CRC-32 of an id's decimal digits, bit by bit: DuckDB has no such function.
