@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import RetrievalConfig
 from folioscope.functions.analysis import positions, tokens
+from folioscope.operators import substring
 from folioscope.session import checkpoint_dir
 
 K1, B = 1.2, 0.75  # fixed values of the ranking function
@@ -143,17 +144,18 @@ def fts_reranked(index: LexicalIndex, chunks: DataFrame, terms: DataFrame, top_k
     return postprocess(fts_pool(index, chunks, terms, min(200, max(top_k * config.oversample, top_k)), config), top_k, config)
 
 
-def like_fallback(chunks: DataFrame, terms: DataFrame, top_k: int, limit: int = 120, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def like_fallback(chunks: DataFrame, terms: DataFrame, top_k: int, limit: int = 120, config: RetrievalConfig = RetrievalConfig(), grams: substring.GramIndex | None = None) -> DataFrame:
     """Substring search for queries that full text can't serve: the first `limit` chunks with any keyword, by the keywords' number.
 
-    Keywords are patterns as they stand, so % and _ are wildcards, whatever the case; counts are of the literal keyword."""
+    Keywords are patterns as they stand, so % and _ are wildcards, whatever the case; counts are of the literal keyword.
+    grams: the stored runs of the chunks' texts; without them they are built for this call. Texts join late."""
     from folioscope.operators.fusion import postprocess
 
-    words = keyword_lists(terms)
-    like = "IF(k RLIKE '[%_]', low LIKE concat('%', lower(k), '%'), contains(low, lower(k)))"
-    low = chunks.withColumn("low", F.lower("text"))
-    found = low.join(words, F.expr(f"exists(keywords, k -> {like})")).drop("low")  # the planner broadcasts queries that are few
-    first = ranked(found, max(1, min(2000, limit)), F.col("chunk_id"), name="scan_rank")
+    grams = grams or substring.stored(substring.build(chunks))
+    asked = terms.select(F.col("term").alias("pattern_id"), F.col("term").alias("pattern")).distinct()
+    hits = substring.search(grams, chunks, asked).withColumnRenamed("pattern_id", "term")
+    found = hits.join(terms.select("query_id", "term").distinct(), "term").select("query_id", "chunk_id").distinct()
+    first = ranked(found, max(1, min(2000, limit)), F.col("chunk_id"), name="scan_rank").join(chunks, "chunk_id").join(keyword_lists(terms), "query_id")
     count = F.expr("aggregate(keywords, 0L, (s, k) -> s + (length(text) - length(replace(text, k, ''))) div length(k))")
     scored = rerank(first.withColumn("bm25", -count.cast("double")), config)
     return postprocess(ranked(scored, limit, F.col("rr").desc(), F.col("scan_rank")), top_k, config)

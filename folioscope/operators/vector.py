@@ -69,31 +69,41 @@ def _blocks(rows: DataFrame, id_col: str, size: int, eps: float) -> DataFrame:
     return some.mapInPandas(pack, "width int, ids array<long>, matrix binary")
 
 
+def best_rows(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, top_k: int) -> pd.DataFrame:
+    """(query_id, chunk_id, similarity): of each query's row of q its top_k rows of v, ties of the last by smaller id."""
+    near = np.round(q @ v.T, DIGITS)
+    k = min(top_k, len(v))
+    least = np.partition(near, len(v) - k, axis=1)[:, len(v) - k]
+    i, j = np.nonzero(near >= least[:, None])  # with all ties of the last
+    order = np.lexsort((ids[j], -near[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)  # within its query
+    i, j = i[place < k], j[place < k]
+    return pd.DataFrame({"query_id": q_ids[i], "chunk_id": ids[j], "similarity": near[i, j]})
+
+
 def _block_best(top_k: int):
-    """For mapInPandas over pairs of blocks: each query's top_k of the block's vectors."""
+    """For mapInPandas over pairs of blocks: each query's top_k of the block's vectors, a frame for each pair."""
 
     def best(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in it:
             for width, ids, matrix, q_ids, q_matrix in zip(*[pdf[c] for c in ("width", "ids", "matrix", "q_ids", "q_matrix")]):
                 v, q = (np.frombuffer(m, dtype=float).reshape(-1, width) for m in (matrix, q_matrix))
-                near = np.round(q @ v.T, DIGITS)
-                k = min(top_k, len(v))
-                for i, row in zip(q_ids, near):
-                    least = np.partition(row, len(v) - k)[len(v) - k]
-                    some = np.flatnonzero(row >= least)  # with all ties of the last
-                    some = some[np.lexsort((ids[some], -row[some]))][:k]
-                    yield pd.DataFrame({"query_id": i, "chunk_id": ids[some], "similarity": row[some]})
+                yield best_rows(np.asarray(q_ids), q, np.asarray(ids), v, top_k)
 
     return best
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, top_k: int, eps: float = 1e-3, query_block: int = 512, vector_block: int = 4096) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, top_k: int, eps: float = 1e-3, query_block: int = 512, vector_block: int = 4096, spread: int = 16) -> DataFrame:
     """(query_id, chunk_id, similarity, rank) of each query's top_k nearest chunks; ties go to the smaller chunk_id.
 
     queries: (query_id, embedding). Blocks of queries meet blocks of vectors of their width as matrix products; of each
-    meeting only top_k rows of a query go on to the last ranking."""
+    meeting only top_k rows of a query go on to the last ranking. Queries go to `spread` parts of the vectors, so one width
+    is no hot key."""
     q = _blocks(queries, "query_id", query_block, eps).withColumnsRenamed({"width": "q_width", "ids": "q_ids", "matrix": "q_matrix"})
-    pairs = _blocks(vectors, "chunk_id", vector_block, eps).join(q, F.col("width") == F.col("q_width"))
+    q = q.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    part = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(spread))
+    pairs = _blocks(vectors, "chunk_id", vector_block, eps).join(q, (F.col("width") == F.col("q_width")) & (part == F.col("q_part")))
     scored = pairs.mapInPandas(_block_best(top_k), "query_id long, chunk_id long, similarity double")
     scored = scored.withColumn("similarity", F.round("similarity", DIGITS))
     order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("chunk_id"))
@@ -117,12 +127,6 @@ def ivf_build(vectors: DataFrame, n_clusters: int, seed: int = 42) -> tuple[Data
     return centroids, model.transform(rows).select("chunk_id", "cluster", "embedding")
 
 
-def ivf_build_models(vectors: DataFrame, n_clusters: int, seed: int = 42) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """ivf_build for each model of (chunk_id, model, embedding); a corpus has a handful of models."""
-    models = [r["model"] for r in vectors.select("model").distinct().collect()]
-    return {m: ivf_build(vectors.where(F.col("model").eqNullSafe(F.lit(m))), n_clusters, seed) for m in models}
-
-
 def centroids_by_label(vectors: DataFrame, label: str = "cluster") -> DataFrame:
     """(cluster, centroid): the mean vector of each label."""
     each = vectors.select(F.col(label).alias("cluster"), F.posexplode("embedding").alias("i", "x"))
@@ -134,7 +138,7 @@ def ivf_probe(queries: DataFrame, centroids: DataFrame, assigned: DataFrame, top
     """Exact scores within each query's `probes` nearest clusters (Euclidean distance).
 
     A query without candidates is searched for in `everything` (chunk_id, embedding), if that is given; else it has no
-    rows. Vectors partitioned by cluster are pruned by this join."""
+    rows. The clusters left out are missed: operators.clusters searches with bounds."""
     q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
     gap = F.round(F.sqrt(F.aggregate(F.zip_with("q", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), DIGITS)
     near = q.crossJoin(F.broadcast(centroids)).withColumn("gap", gap)  # as many centroids as clusters

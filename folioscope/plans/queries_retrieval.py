@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import RetrievalConfig
 from folioscope.functions.analysis import fast_terms
-from folioscope.operators import cache, evaluate, fusion, graph, ingest, lexical, vector
+from folioscope.operators import cache, clusters, evaluate, fusion, graph, ingest, lexical, substring, vector
 from folioscope.plans import retrieve
 from folioscope.plans.registry import Corpus, query
 from folioscope.session import cut
@@ -61,7 +61,19 @@ _LIKE = r""", found AS (SELECT query_id, chunk_id, path, text, title, sum(CASE W
 
 @query(base() + _LIKE + thinned("franked", TOP) + " SELECT query_id, chunk_id, rank, bm25, rr FROM final")
 def like_fallback(c: Corpus) -> DataFrame:
-    return lexical.like_fallback(c.chunks, c.terms, TOP).select("query_id", "chunk_id", "rank", "bm25", "rr")
+    return lexical.like_fallback(c.chunks, c.terms, TOP, grams=c.grams).select("query_id", "chunk_id", "rank", "bm25", "rr")
+
+
+_PATTERNS = """p AS (SELECT item_id AS pattern_id, CASE item_id % 4 WHEN 0 THEN substr(text, 6, 9) WHEN 1 THEN upper(substr(text, 3, 4)) || '%' || substr(text, 12, 5)
+    WHEN 2 THEN substr(text, 2, 3) || '_' || substr(text, 6, 4) ELSE substr(text, 5, 2) END AS pattern FROM benchmark)"""
+
+
+@query(f"WITH {_PATTERNS} SELECT pattern_id, doc_id AS chunk_id FROM p JOIN documents ON lower(text) LIKE '%' || lower(pattern) || '%'")
+def substring_search(c: Corpus) -> DataFrame:
+    """Patterns of two to nine characters with and without wildcards, against all documents through their runs of three."""
+    p = F.expr("CASE query_id % 4 WHEN 0 THEN substr(text, 6, 9) WHEN 1 THEN upper(substr(text, 3, 4)) || '%' || substr(text, 12, 5) WHEN 2 THEN substr(text, 2, 3) || '_' || substr(text, 6, 4) ELSE substr(text, 5, 2) END")
+    asked = c.questions.select(F.col("query_id").alias("pattern_id"), p.alias("pattern"))
+    return substring.search(c.grams, c.chunks, asked)
 
 
 @query(rf"""WITH l AS (SELECT doc_id AS chunk_id, {toks('text')} AS l FROM documents), t AS (SELECT chunk_id, generate_subscripts(l, 1) AS pos, unnest(l) AS term FROM l),
@@ -111,8 +123,24 @@ def ivf_probe(c: Corpus) -> DataFrame:
 
 @query()
 def ivf_kmeans(c: Corpus) -> DataFrame:
-    centroids, assigned = vector.ivf_build(c.vectors, 10)
-    return vector.ivf_probe(c.vector_questions, centroids, assigned, TOP)
+    """Clusters by k-means, as many of them asked as a sample needed for a recall of 0.95."""
+    return clusters.search(c.clusters, c.vector_questions.withColumn("model", F.lit("given")), TOP, exact=False)
+
+
+@query(_VTOP)
+def ivf_exact(c: Corpus) -> DataFrame:
+    """Cluster search by bounds: the result of a whole scan."""
+    return clusters.search(c.clusters, c.vector_questions.withColumn("model", F.lit("given")), TOP)
+
+
+@query(f"""WITH {_VQ} SELECT query_id, 1.0::DOUBLE AS exact_recall, true AS near_is_enough FROM q""")
+def ivf_recall(c: Corpus) -> DataFrame:
+    """Recall of both modes against the matrix scan: 1 of the exact one for each query, 0.9 or more of the other over all."""
+    asked = cut(c.vector_questions.withColumn("model", F.lit("given")))
+    scan = cut(vector.vector_topk(asked, c.vectors, TOP))
+    near = vector.recall(clusters.search(c.clusters, asked, TOP, exact=False), scan).agg(F.avg("recall").alias("mean"))  # one row
+    exact = vector.recall(clusters.search(c.clusters, asked, TOP), scan)
+    return exact.crossJoin(F.broadcast(near)).select("query_id", F.col("recall").alias("exact_recall"), (F.col("mean") >= 0.9).alias("near_is_enough"))
 
 
 _HYBRID_POOL = base(DOC_QUESTIONS, 100)
@@ -159,7 +187,7 @@ def cross_rerank(c: Corpus) -> DataFrame:
 def retrieve_full(c: Corpus) -> DataFrame:
     q = c.document_questions
     adjacent = graph.adjacent_edges(c.chunks)
-    return retrieve.retrieve(c.index, c.chunks, c.vectors, q, c.terms_of(q), 4, edges=adjacent, config=RetrievalConfig(graph=True))
+    return retrieve.retrieve(c.index, c.chunks, c.vectors, q, c.terms_of(q), 4, edges=adjacent, config=RetrievalConfig(graph=True), grams=c.grams)
 
 
 @query()

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.analysis import query_terms
-from folioscope.operators import lexical
-from folioscope.session import cut, ship_package, table
+from folioscope.operators import clusters, lexical, substring
+from folioscope.session import cut, fingerprint, ship_package, table
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,7 +33,7 @@ def query(sql: str | None = None):
     return add
 
 
-_INDEXES: dict[tuple[str, str], lexical.LexicalIndex] = {}
+_STORED: dict[tuple, object] = {}
 
 
 class Corpus:
@@ -45,18 +45,32 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def stored(self, what: str, name: str, build: Callable[[DataFrame], object]):
+        """What is built of a table, by the first query of an application that needs it and again once its files have changed."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, what, fingerprint(self.spark, f"{self.sf_dir}/{name}.parquet"))
+        if key not in _STORED:
+            _STORED[key] = build(self.table(name))
+        return _STORED[key]
+
     @cached_property
     def chunks(self) -> DataFrame:
+        """Places are numbered over ids alone; texts join them afterwards."""
         index = F.expr("CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT)")
-        return self.table("documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), F.concat_ws(" ", "lang", "source").alias("title"), index.alias("chunk_index"), "text")
+        docs = self.table("documents")
+        texts = docs.select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "lang", "source").alias("title"), "text")
+        return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), index.alias("chunk_index")).join(texts, "chunk_id").select("chunk_id", "path", "title", "chunk_index", "text")
 
     @cached_property
     def index(self) -> lexical.LexicalIndex:
-        """The index of the folder's documents, written by the first query of an application that needs it and read by all."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _INDEXES:
-            _INDEXES[key] = lexical.stored(lexical.build_index(self.table("documents").select(F.col("doc_id").alias("chunk_id"), "text")))
-        return _INDEXES[key]
+        return self.stored("postings", "documents", lambda docs: lexical.stored(lexical.build_index(docs.select(F.col("doc_id").alias("chunk_id"), "text"))))
+
+    @cached_property
+    def grams(self) -> substring.GramIndex:
+        return self.stored("grams", "documents", lambda docs: substring.stored(substring.build(docs.select(F.col("doc_id").alias("chunk_id"), "text"))))
+
+    @cached_property
+    def clusters(self) -> clusters.ClusterIndex:
+        return self.stored("clusters", "embeddings", lambda _: clusters.build(self.vectors.select("chunk_id", "model", "embedding"), n_clusters=32))
 
     @cached_property
     def frequencies(self) -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from folioscope.config import RetrievalConfig
 from folioscope.functions.citations import with_snippet
 from folioscope.operators import fusion, lexical, vector
+from folioscope.functions.analysis import rank_keywords
+from folioscope.operators.clusters import ClusterIndex, search
 from folioscope.operators.graph import graph_expand
 from folioscope.operators.ingest import in_scope
+from folioscope.operators.substring import GramIndex
 from folioscope.session import cut
 
 
@@ -42,10 +45,11 @@ def displayable(rows: DataFrame, top_k: int) -> DataFrame:
     return fusion.renumbered(shown.where("snippet <> ''").drop("snippet"), top_k)
 
 
-def retrieve(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, terms: DataFrame, top_k: int = 4, root: str | None = None, edges: DataFrame | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def retrieve(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, terms: DataFrame, top_k: int = 4, root: str | None = None, edges: DataFrame | None = None, config: RetrievalConfig = RetrievalConfig(), grams: GramIndex | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, source): the hybrid results; for queries without any full text alone; for those without that, substrings.
 
-    A branch is computed for the queries that the ones before left without results."""
+    A branch is computed for the queries that the ones before left without results. Substrings are looked for among the
+    keywords of analysis.rank_keywords, through `grams` if they are given."""
     cap = min(200, max(8 * top_k, top_k))
     columns = ["query_id", "chunk_id", "path", "text", "rank"]
     scope = lambda d: d if root is None else fusion.renumbered(d.where(in_scope(F.col("path"), root)))
@@ -54,8 +58,13 @@ def retrieve(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame,
     missing = lambda d, done: d.join(done.select("query_id").distinct(), "query_id", "left_anti")
     second = lexical.fts_reranked(index, chunks, missing(terms, first), cap, config).select(*columns).withColumn("source", F.lit("fts"))
     shown = cut(displayable(scope(first.unionByName(second)), top_k))
-    third = lexical.like_fallback(chunks, missing(terms, shown), cap, 120 if root is None else min(800, max(120, 40 * top_k)), config).select(*columns).withColumn("source", F.lit("like"))
-    out = shown.unionByName(displayable(scope(third), top_k)).select("query_id", "chunk_id", "rank", "source")
+    left = cut(rank_keywords(missing(queries, shown).select("query_id", "text"), missing(terms, shown)))
+    if left.isEmpty():
+        out = shown.select("query_id", "chunk_id", "rank", "source")
+    else:
+        limit = 120 if root is None else min(800, max(120, 40 * top_k))
+        third = lexical.like_fallback(chunks, left, cap, limit, config, grams).select(*columns).withColumn("source", F.lit("like"))
+        out = shown.unionByName(displayable(scope(third), top_k)).select("query_id", "chunk_id", "rank", "source")
     if edges is None or not config.graph:
         return out
     allowed = None if root is None else chunks.where(in_scope(F.col("path"), root)).select("chunk_id")
@@ -63,14 +72,14 @@ def retrieve(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame,
     return displayable(grown, top_k).select("query_id", "chunk_id", "rank", F.when(F.col("extra"), "graph").otherwise("primary").alias("source"))
 
 
-def retrieve_fast(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, terms: DataFrame, top_k: int = 4, root: str | None = None, clusters: tuple[DataFrame, DataFrame] | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def retrieve_fast(index: lexical.LexicalIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, terms: DataFrame, top_k: int = 4, root: str | None = None, clusters: ClusterIndex | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """(query_id, chunk_id, path, rank): both candidate lists, fused where there are vector hits, scoped and thinned in one pass.
 
-    terms: those of analysis.fast_terms."""
+    terms: those of analysis.fast_terms. clusters: an index of the vectors, for queries that name their model."""
     n = 2 * top_k
     fts = lexical.fts_pool(index, chunks, terms, min(200, max(n * config.oversample, n)), config)
     asked = queries.where("embedding IS NOT NULL")
-    near = vector.vector_topk(asked, vectors, n, config.unit_eps) if clusters is None else vector.ivf_probe(asked, *clusters, n, everything=vectors)
+    near = vector.vector_topk(asked, vectors, n, config.unit_eps) if clusters is None else search(clusters, asked, n, exact=False)
     fused = fusion.rrf_merge(fts, near, config.rrf_k, n).select("query_id", "chunk_id", "rank")
     fused = fused.join(near.select("query_id").distinct(), "query_id", "left_semi")
     plain = fts.join(near.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "chunk_id", "rank")

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of the files of a table: another text once the table is written again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return ""
+    return "|".join(sorted(f"{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(place)))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a context's own. Where neither is set, a local master gets
     a temporary folder; on a cluster that is an error, as executors wouldn't see each other's files."""
