@@ -25,8 +25,12 @@ def adjacent_edges(chunks: DataFrame) -> DataFrame:
 
 def tags(chunks: DataFrame, document_frequency: DataFrame, totals: DataFrame, n: int = TAGS) -> DataFrame:
     """(chunk_id, tags): each chunk's n terms of largest tf-idf, as a sorted array."""
-    counted = positions(chunks, "chunk_id", F.col("text")).where(~is_stop_word(F.col("term"))).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = counted.join(document_frequency, "term").crossJoin(F.broadcast(totals.select("n")))  # one row
+    return tags_of(positions(chunks, "chunk_id", F.col("text")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")), document_frequency, totals, n)
+
+
+def tags_of(postings: DataFrame, document_frequency: DataFrame, totals: DataFrame, n: int = TAGS) -> DataFrame:
+    """tags from an index's (chunk_id, term, tf), without reading the texts."""
+    weighed = postings.select("chunk_id", "term", "tf").where(~is_stop_word(F.col("term"))).join(document_frequency, "term").crossJoin(F.broadcast(totals.select("n")))  # one row
     weight = F.round(F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 0.5)), 9)
     best = weighed.withColumn("r", F.row_number().over(W.partitionBy("chunk_id").orderBy(weight.desc(), "term"))).where(F.col("r") <= n)
     return best.groupBy("chunk_id").agg(F.array_sort(F.collect_list("term")).alias("tags"))

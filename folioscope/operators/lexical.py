@@ -1,7 +1,7 @@
 """Full-text ranking over an inverted index of (term, chunk_id, tf, positions).
 
 The index is written once per version of a corpus, in the order of its terms, and read by every batch of questions: a
-batch reads the shards of its terms only, and positions only for phrases."""
+small batch reads the row groups of its terms only, and positions are read for phrases only."""
 
 from __future__ import annotations
 
@@ -15,17 +15,17 @@ from pyspark.sql import functions as F
 from folioscope.config import RetrievalConfig
 from folioscope.functions.analysis import positions, tokens
 from folioscope.operators import substring
-from folioscope.session import checkpoint_dir
+from folioscope.session import checkpoint_dir, cut, removed
 
 K1, B = 1.2, 0.75  # fixed values of the ranking function
 
 
-SHARDS = 64  # folders of the stored postings
+LISTED = 200  # terms of a batch that are pushed to the scan of postings as a list, if they are no more
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (shard, term, chunk_id, tf, positions), frequencies (term, df), lengths (chunk_id, dl), totals (n, avgdl: one row)."""
+    """postings (term, chunk_id, tf, positions), frequencies (term, df), lengths (chunk_id, dl), totals (n, avgdl: one row)."""
 
     postings: DataFrame
     frequencies: DataFrame
@@ -36,31 +36,34 @@ class LexicalIndex:
         return self.frequencies
 
 
-def shard_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
-
-
 def build_index(chunks: DataFrame, span_chars: int = 0) -> LexicalIndex:
     """Index of (chunk_id, text); only the first span_chars characters if that is positive. Built from live chunks, so nothing stale counts."""
     text = F.substring("text", 1, span_chars) if span_chars else F.col("text")
     places = positions(chunks, "chunk_id", text)
     postings = places.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    postings = postings.select(shard_of(F.col("term")).alias("shard"), "term", "chunk_id", "tf", "positions")
     lengths = chunks.select("chunk_id", F.size(tokens(text)).cast("long").alias("dl"))
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return LexicalIndex(postings, frequencies, lengths, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+    return LexicalIndex(postings.select("term", "chunk_id", "tf", "positions"), frequencies, lengths, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def write_postings(index: LexicalIndex, path: str) -> None:
+    """Writes postings and lengths below path. Texts are tokenized once: postings are written as they come, then dealt by ranges
+    of term and chunk (a frequent term is several files), and lengths are the sums of their counts."""
+    spark, raw = index.postings.sparkSession, f"{checkpoint_dir(index.postings.sparkSession).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    index.postings.write.parquet(raw)
+    held = spark.read.parquet(raw)
+    held.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    sums = held.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    index.lengths.select("chunk_id").join(sums, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    removed(spark, raw)
 
 
 def write_index(index: LexicalIndex, path: str) -> None:
-    """Writes the tables below path. Postings are ranged by shard, term and chunk, so a frequent term is dealt to several
-    files and each file holds few shards; the other tables come from what is written."""
-    order = ["shard", "term", "chunk_id"]
-    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-    held = index.postings.sparkSession.read.parquet(f"{path}/postings")
-    held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    lengths = index.postings.sparkSession.read.parquet(f"{path}/lengths")
-    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    """Writes the tables below path; the counts come from what is written."""
+    write_postings(index, path)
+    read = index.postings.sparkSession.read
+    read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/frequencies")
+    read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
@@ -75,25 +78,51 @@ def stored(index: LexicalIndex, path: str | None = None) -> LexicalIndex:
     return read_index(spark, path)
 
 
-def matches(index: LexicalIndex, terms: DataFrame) -> DataFrame:
-    """(query_id, term_no, chunk_id, tf) for terms (query_id, pos, term). A term of several tokens is a phrase.
+def _parts(terms: DataFrame) -> DataFrame:
+    """(query_id, term_no, offset, term, n): the tokens of each term."""
+    return cut(terms.select("query_id", F.col("pos").alias("term_no"), F.posexplode(tokens(F.col("term"))).alias("offset", "term"), F.size(tokens(F.col("term"))).alias("n")))
+
 
-    A phrase stands where its tokens' positions less their offsets agree."""
-    parts = terms.select("query_id", F.col("pos").alias("term_no"), F.posexplode(tokens(F.col("term"))).alias("offset", "token"), F.size(tokens(F.col("term"))).alias("n"))
-    parts = parts.withColumnRenamed("token", "term").withColumn("shard", shard_of(F.col("term")))
-    single = index.postings.select("shard", "term", "chunk_id", "tf").join(parts.where("n = 1").drop("offset", "n"), ["shard", "term"])
-    spots = index.postings.select("shard", "term", "chunk_id", "positions").join(parts.where("n > 1"), ["shard", "term"])
+def _phrases(index: LexicalIndex, parts: DataFrame, wanted: Column) -> DataFrame | None:
+    """(query_id, term_no, chunk_id, tf) of the terms of several tokens: a phrase stands where its tokens' positions less
+    their offsets agree. None if there is no such term, so postings aren't read for it."""
+    parts = parts.where("n > 1")
+    if parts.isEmpty():
+        return None
+    spots = index.postings.where(wanted).select("term", "chunk_id", "positions").join(parts, "term")
     spots = spots.select("query_id", "term_no", "chunk_id", "n", "offset", F.explode("positions").alias("at")).withColumn("at", F.col("at") - F.col("offset"))
     whole = spots.groupBy("query_id", "term_no", "chunk_id", "at", "n").agg(F.count(F.lit(1)).alias("hits")).where("hits = n")
-    phrases = whole.groupBy("query_id", "term_no", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    return single.select("query_id", "term_no", "chunk_id", "tf").unionByName(phrases)
+    return whole.groupBy("query_id", "term_no", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _wanted(parts: DataFrame) -> Column:
+    """A filter for the scan of postings by a batch's tokens, if they are few."""
+    some = [r["term"] for r in parts.select("term").distinct().limit(LISTED + 1).collect()]
+    return F.col("term").isin(some) if len(some) <= LISTED else F.col("term").isNotNull()
+
+
+def matches(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """(query_id, term_no, chunk_id, tf) for terms (query_id, pos, term). A term of several tokens is a phrase."""
+    parts = _parts(terms)
+    wanted = _wanted(parts)
+    single = index.postings.where(wanted).select("term", "chunk_id", "tf").join(parts.where("n = 1"), "term").select("query_id", "term_no", "chunk_id", "tf")
+    phrases = _phrases(index, parts, wanted)
+    return single if phrases is None else single.unionByName(phrases)
 
 
 def bm25(index: LexicalIndex, terms: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, bm25), smaller is better, for chunks with any term. Terms in half of the chunks or more weigh 1e-6."""
-    hits = matches(index, terms)
-    df = hits.groupBy("query_id", "term_no").agg(F.count(F.lit(1)).alias("df"))
-    all_in = hits.join(df, ["query_id", "term_no"]).join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.totals))  # one row
+    """(query_id, chunk_id, bm25), smaller is better, for chunks with any term. Terms in half of the chunks or more weigh 1e-6.
+
+    A token's number of chunks is the index's own, a phrase's is counted; postings are read once for either."""
+    parts = _parts(terms)
+    wanted = _wanted(parts)
+    rare = parts.where("n = 1").join(index.frequencies, "term").select("query_id", "term_no", "term", "df")
+    hits = index.postings.where(wanted).select("term", "chunk_id", "tf").join(rare, "term").select("query_id", "term_no", "chunk_id", "tf", "df")
+    phrases = _phrases(index, parts, wanted)
+    if phrases is not None:
+        phrases = cut(phrases)
+        hits = hits.unionByName(phrases.join(phrases.groupBy("query_id", "term_no").agg(F.count(F.lit(1)).alias("df")), ["query_id", "term_no"]))
+    all_in = hits.join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.totals))  # one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

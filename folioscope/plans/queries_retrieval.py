@@ -251,7 +251,7 @@ _KEY = base() + _TAGS.replace("{stop}", STOP)
 
 
 def _keyword(c: Corpus) -> DataFrame:
-    return graph.keyword_edges(c.chunks, graph.tags(c.chunks, c.frequencies, c.index.totals))
+    return graph.keyword_edges(c.chunks, graph.tags_of(c.index.postings, c.frequencies, c.index.totals))
 
 
 @query(_KEY + " SELECT src, dst, 'keyword' AS rel, weight FROM keyword")

@@ -25,13 +25,19 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return "|".join(sorted(f"{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(place)))
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a context's own. Where neither is set, a local master gets
     a temporary folder; on a cluster that is an error, as executors wouldn't see each other's files."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not named and not sc.master.startswith("local["):
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or _local_folder())
     return named or sc._jsc.sc().getCheckpointDir().get()

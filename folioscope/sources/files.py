@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterable
 from html.parser import HTMLParser
@@ -20,12 +21,30 @@ IGNORED_NAMES = ("requirements-kb.txt", "requirements.txt")
 ENCODINGS = ("utf-8", "gb18030", "gbk", "big5")
 
 
-def described(files: DataFrame) -> DataFrame:
-    """(path, ext, mtime, fsize, sha256, content) of the readable books among files (path, modificationTime, length, content)."""
+def _books(files: DataFrame) -> DataFrame:
+    """Files with ext and mtime, those alone that can be read and aren't to be ignored."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     found = files.withColumn("ext", F.regexp_extract(name, r"(\.[^.]*)$", 1)).where(F.col("ext").isin(*EXTENSIONS) & ~name.startswith("~$") & ~name.isin(*IGNORED_NAMES))
-    mtime = F.unix_micros("modificationTime").cast("double") / 1e6
-    return found.select("path", "ext", mtime.alias("mtime"), F.col("length").alias("fsize"), F.sha2("content", 256).alias("sha256"), "content")
+    return found.withColumn("mtime", F.unix_micros("modificationTime").cast("double") / 1e6)
+
+
+def described(files: DataFrame) -> DataFrame:
+    """(path, ext, mtime, fsize, sha256, content) of the readable books among files (path, modificationTime, length, content)."""
+    return _books(files).select("path", "ext", "mtime", F.col("length").alias("fsize"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, ext, mtime, fsize) of the books below root: nothing of their content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+    return _books(files).select("path", "ext", "mtime", F.col("length").alias("fsize"))
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """`described` files of given paths."""
+    if not paths:
+        return spark.createDataFrame([], "path string, ext string, mtime double, fsize long, sha256 string, content binary")
+    plain = [re.sub(r"([\\\[\]{}*?,])", r"\\\1", p) for p in paths]  # names, not patterns
+    return described(spark.read.format("binaryFile").load(plain))
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
@@ -96,12 +115,11 @@ def read_epub(raw: bytes) -> tuple[str, str]:
 
 
 def read_pdf(raw: bytes) -> tuple[str, str]:
-    """(title, text) of a PDF's pages, parted by empty lines; needs a PDF reader to be installed."""
+    """(no title, text) of a PDF's pages, parted by empty lines; needs a PDF reader to be installed. Its file's name is its title."""
     from pypdf import PdfReader
 
     pdf = PdfReader(io.BytesIO(raw))
-    title = (pdf.metadata.title if pdf.metadata else None) or ""
-    return title.strip(), "\n\n".join(p.extract_text() or "" for p in pdf.pages)
+    return "", "\n\n".join(p.extract_text() or "" for p in pdf.pages)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
