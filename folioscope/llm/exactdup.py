@@ -10,7 +10,7 @@ index; a document looks its text up in the bucket that the directory names for i
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +22,20 @@ from folioscope.session import cut
 @dataclass(frozen=True)
 class IndexSpec:
     """capacity: hashes of a bucket before it splits. max_depth: bound of the directory, 2^max_depth cells.
-    mark_bits: prefixes of this many bits mark where chains are; 2^(mark_bits - 6) words at most are broadcast."""
+    mark_bits: bound of the prefixes that mark where chains are; 2^(mark_bits - 6) words at most are broadcast.
+
+    Both are bounds of what is broadcast: `sized` takes what the counts need. Where they would need more, buckets hold
+    more hashes, and more texts that stand alone are shuffled; nothing is lost."""
 
     capacity: int = 1 << 12
-    max_depth: int = 14
-    mark_bits: int = 22
+    max_depth: int = 20
+    mark_bits: int = 28
+
+    def sized(self, hashes: int, chains: int) -> IndexSpec:
+        """For so many hashes, so many of them with chains: a directory deep enough, and marks of which a sixteenth is set."""
+        capacity = max(self.capacity, -(-hashes >> max(0, self.max_depth - 3)))
+        depth = (-(-hashes // capacity)).bit_length() + 3
+        return replace(self, capacity=capacity, max_depth=min(self.max_depth, depth), mark_bits=min(self.mark_bits, max(8, chains.bit_length() + 4)))
 
 
 def prefix(h: Column, bits: int) -> Column:
@@ -49,20 +58,22 @@ def marked(rows: DataFrame, hashes: DataFrame, bits: int) -> DataFrame:
     return found.where(F.expr("(shiftrightunsigned(__bits, cast(shiftrightunsigned(h, %d) & 63 as int)) & 1) = 1" % (64 - bits))).drop("__word", "__bits")
 
 
-def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: IndexSpec = IndexSpec()) -> tuple[DataFrame, DataFrame]:
-    """(hashes, entries). hashes: h, n. entries, one row per distinct normalised text: h, digest, keep_id (largest id), group_size.
+def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: IndexSpec = IndexSpec()) -> tuple[IndexSpec, DataFrame, DataFrame]:
+    """(spec, hashes, entries). spec: as the counts need it. hashes: h, n. entries, one row per distinct normalised text: h, digest, keep_id (largest id), group_size.
 
     Grouping a chain by its texts is the byte comparison. Copies combine before the shuffle, so a text that a third of
     all rows share sends one row per map task; a text whose hash stands alone isn't shuffled."""
     norm = normalised(text_col)
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("digest"))
     hashes = cut(slim.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"), F.min("digest").alias("digest")))
+    counts = hashes.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") > 1).alias("chains")).first()
+    spec = spec.sized(counts["all"], counts["chains"])
     chains = hashes.where("n > 1").select("h")
     texts = marked(docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("h", F.xxhash64("norm")), chains, spec.mark_bits)
     groups = texts.groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     chained = groups.select("h", F.sha2("norm", 256).alias("digest"), "keep_id", "group_size").join(chains, "h", "left_semi")
     alone = hashes.where("n = 1").select("h", "digest", "keep_id", F.lit(1).cast("long").alias("group_size"))
-    return hashes.select("h", "n"), alone.unionByName(chained)
+    return spec, hashes.select("h", "n"), alone.unionByName(chained)
 
 
 def directory(index: DataFrame, spec: IndexSpec) -> DataFrame:
@@ -84,13 +95,17 @@ def located(rows: DataFrame, cells: DataFrame, spec: IndexSpec) -> DataFrame:
     return rows.withColumn("__cell", prefix(F.col("h"), spec.max_depth)).join(F.broadcast(cells.withColumnRenamed("cell", "__cell")), "__cell").drop("__cell")
 
 
+def _indexed(docs: DataFrame, id_col: str, text_col: str, spec: IndexSpec) -> tuple[IndexSpec, DataFrame, DataFrame]:
+    spec, hashes, found = entries(docs, id_col, text_col, spec)
+    cells = cut(directory(hashes, spec).repartition(8))  # a bounded table: few files
+    owned = located(found, cells, spec).repartition("depth", "bucket").sortWithinPartitions("depth", "bucket", "h", "digest")
+    return spec, cells, written(owned.select("depth", "bucket", "h", "digest", "keep_id", "group_size"), "exact-index")
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: IndexSpec = IndexSpec()) -> tuple[DataFrame, DataFrame]:
     """(cells, index). cells: the directory, at most 2^max_depth rows. index, files in the shared folder written bucket by
     bucket: depth, bucket, h, digest, keep_id, group_size."""
-    hashes, found = entries(docs, id_col, text_col, spec)
-    cells = cut(directory(hashes, spec).repartition(8))  # a bounded table: few files
-    owned = located(found, cells, spec).repartition("depth", "bucket").sortWithinPartitions("depth", "bucket", "h", "digest")
-    return cells, written(owned.select("depth", "bucket", "h", "digest", "keep_id", "group_size"), "exact-index")
+    return _indexed(docs, id_col, text_col, spec)[1:]
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: IndexSpec = IndexSpec()) -> DataFrame:
@@ -100,7 +115,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copy has an id. Of repeated rows (equal id and text) every one that has the largest id is marked kept; see
     `exact_dedup` for the filter that leaves one. Very long texts are compared whole. Columns of docs with these names
     are replaced. An empty table gives an empty result."""
-    cells, index = build_index(docs, id_col, text_col, spec)
+    spec, cells, index = _indexed(docs, id_col, text_col, spec)
     index = index.where("group_size > 1").select("depth", "bucket", "h", F.col("digest").alias("text_sha256"), "keep_id", "group_size")
     own = ("keep_id", "group_size", "text_sha256", "depth", "bucket", "h")
     kept = [c for c in docs.columns if c == id_col.split(".")[0] or c not in ("keep_id", "group_size", "kept", "text_sha256")]

@@ -306,6 +306,13 @@ def _across(star: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFram
     return cut(_met(_meetings(full, F.col("n_shingles"), spec.block_shingles)).mapInPandas(block_links(spec), "a long, b long"))
 
 
+def _of_one_id(some: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of different texts that stand under one id; mostly there are none."""
+    ends = some.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low <> high").select("doc_id")
+    of = some.join(ends, "doc_id").select("doc_id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
+    return of.join(of.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+
+
 def near_groups(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of docs.
 
@@ -334,7 +341,8 @@ def near_groups(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), id_col: str
     near = cut(near.where(odd_bits(F.col("ka"), F.col("kb")) <= most_odd_bits(spec.least_estimate, spec.hashes, spec.sketch_bits)).select("node", "hub"))
     both = near.join(named(sets, "node", "shingles", "sa"), "node").join(named(sets, "hub", "shingles", "sb"), "hub")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    labels = contract(both.where(100 * shared >= spec.percent * (F.size("sa") + F.size("sb") - shared)).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    linked = both.where(100 * shared >= spec.percent * (F.size("sa") + F.size("sb") - shared)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    labels = contract(linked.unionByName(_of_one_id(some, nodes)))
 
     links = _across(star, labels, nodes, sets, spec)
     joined = contract(links).select(F.col("node").alias("component"), F.col("component").alias("larger"))

@@ -144,3 +144,17 @@ def test_odd_sketch_estimates_high_similarity():
 def test_most_odd_bits_inverts_the_estimate(least):
     odd = neardup.most_odd_bits(least, 256, 1024)
     assert 1 + np.log(1 - 2 * odd / 1024) >= least - 1e-3 > 1 + np.log(1 - 2 * (odd + 2) / 1024) - 5e-3
+
+
+def test_an_id_with_different_texts_is_one_component(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = spark.createDataFrame([(3, b), (5, b), (5, a), (9, a), (11, a + " more words"), (20, "alone in its own words here")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_groups(docs, neardup.NearDupSpec(shingle_words=4)).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (11, 3), (20, 20)}
+
+
+@pytest.mark.parametrize("hashes,chains", [(0, 0), (10_000, 10), (10**8, 10**6), (10**12, 10**10)])
+def test_directory_and_marks_follow_the_counts(hashes, chains):
+    spec = exactdup.IndexSpec().sized(hashes, chains)
+    assert spec.capacity << spec.max_depth >= 2 * hashes and spec.max_depth <= 20 and spec.mark_bits <= 28
+    assert spec.mark_bits == 28 or chains * 8 <= 1 << spec.mark_bits
