@@ -78,11 +78,11 @@ def candidates(index: GramIndex, named: DataFrame, list_upto: int = 200) -> Data
     return held.join(needed, ["pattern_id", "n"]).select("pattern_id", "chunk_id")
 
 
-def like(text: Column, pattern: Column) -> Column:
-    """text LIKE %pattern% in lower case; a backslash stands for itself."""
-    low = F.replace(F.lower(pattern), F.lit("\\"), F.lit("\\\\"))
-    wild = F.like(F.lower(text), F.concat(F.lit("%"), low, F.lit("%")))
-    return F.when(pattern.rlike("[%_]"), wild).otherwise(F.contains(F.lower(text), F.lower(pattern)))
+def like(low: Column, pattern: Column) -> Column:
+    """Whether a text in lower case is LIKE %pattern%; a backslash stands for itself."""
+    plain = F.replace(F.lower(pattern), F.lit("\\"), F.lit("\\\\"))
+    wild = F.like(low, F.concat(F.lit("%"), plain, F.lit("%")))
+    return F.when(pattern.rlike("[%_]"), wild).otherwise(F.contains(low, F.lower(pattern)))
 
 
 def search(index: GramIndex, chunks: DataFrame, patterns: DataFrame, rarest: int = 3, list_upto: int = 200) -> DataFrame:
@@ -93,8 +93,9 @@ def search(index: GramIndex, chunks: DataFrame, patterns: DataFrame, rarest: int
     texts = chunks.where(F.col("text").isNotNull()).select("chunk_id", "text")
     known = cut(patterns.where(F.col("pattern").isNotNull()).select("pattern_id", "pattern"))
     named = cut(runs(index, known, rarest))
-    maybe = candidates(index, named, list_upto).join(known, "pattern_id").join(texts, "chunk_id")
-    found = maybe.where(like(F.col("text"), F.col("pattern"))).select("pattern_id", "chunk_id")
+    maybe = candidates(index, named, list_upto).join(known, "pattern_id").groupBy("chunk_id").agg(F.collect_list(F.struct("pattern_id", "pattern")).alias("asked"))  # at most the batch
+    fit = F.transform(F.array(F.lower("text")), lambda low: F.filter("asked", lambda p: like(low, p["pattern"])))[0]  # a text is read and lower-cased once
+    found = maybe.join(texts, "chunk_id").select("chunk_id", F.explode(fit).alias("p")).select("p.pattern_id", "chunk_id")
     loose = known.join(named.select("pattern_id").distinct(), "pattern_id", "left_anti").agg(F.collect_list(F.struct("pattern_id", "pattern")).alias("loose"))  # one row
     each = texts.crossJoin(F.broadcast(loose)).where(F.size("loose") > 0).withColumn("p", F.explode("loose"))
-    return found.unionByName(each.where(like(F.col("text"), F.col("p.pattern"))).select("p.pattern_id", "chunk_id"))
+    return found.unionByName(each.where(like(F.lower("text"), F.col("p.pattern"))).select("p.pattern_id", "chunk_id"))
