@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import trimmed
 from folioscope.session import cut
 
 # Letters that an index without accents folds; both strings in step.
@@ -68,8 +69,8 @@ def query_terms(queries: DataFrame, document_frequency: DataFrame, n_documents:
     tfidf = number(best.join(enough, "query_id", "left_semi"), "place")
     plain = number(seen.withColumnRenamed("pos", "at").join(enough, "query_id", "left_anti").where(kept), "at")
     held = tfidf.unionByName(plain)
-    bare = queries.join(enough, "query_id", "left_anti").join(seen.where(kept).select("query_id").distinct(), "query_id", "left_anti").where(F.trim("text") != "")
-    return held.unionByName(bare.select("query_id", F.lit(1).alias("pos"), F.trim("text").alias("term")))
+    bare = queries.join(enough, "query_id", "left_anti").join(seen.where(kept).select("query_id").distinct(), "query_id", "left_anti").where(trimmed(F.col("text")) != "")
+    return held.unionByName(bare.select("query_id", F.lit(1).alias("pos"), trimmed(F.col("text")).alias("term")))
 
 
 def fast_terms(queries: DataFrame, document_frequency: DataFrame, n_documents: DataFrame, max_terms: int = 14) -> DataFrame:
@@ -85,5 +86,5 @@ def rank_keywords(queries: DataFrame, terms: DataFrame) -> DataFrame:
     short = queries.join(enough, "query_id", "left_anti")
     words = positions(short.select("query_id", "text"), "query_id", F.col("text")).where((F.length("term") >= 2) & ~is_stop_word(F.col("term")))
     words = words.groupBy("query_id", "term").agg(F.min("pos").alias("first")).withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy("first")))
-    bare = short.join(words.select("query_id").distinct(), "query_id", "left_anti").where(F.trim("text") != "")
-    return own.unionByName(words.select("query_id", "pos", "term")).unionByName(bare.select("query_id", F.lit(1).alias("pos"), F.trim("text").alias("term")))
+    bare = short.join(words.select("query_id").distinct(), "query_id", "left_anti").where(trimmed(F.col("text")) != "")
+    return own.unionByName(words.select("query_id", "pos", "term")).unionByName(bare.select("query_id", F.lit(1).alias("pos"), trimmed(F.col("text")).alias("term")))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import trimmed
+
 # Marks of questions about code, and characters of small talk.
 CODE_HINTS = ("traceback", "exception", "syntaxerror", "indentationerror", "def ", "class ", "import ", "报错", "调试", "npm ", "pip ", "git ", "sql", "httperror", "json.decode", "代码", "函数", "编程", "api接口", "```", "typescript", "javascript", "python")
 SMALL_TALK = r"(?U)^[\s你好您好谢谢不用谢再见哈嘿呀哦嗯哼\d\w…\.。\!！\?？\,，~～]+$"
@@ -106,7 +108,7 @@ def verdict(raw: Column) -> Column:
     return F.struct(
         F.when(said.isNull(), True).otherwise(said.isin("true", "1", "yes")).alias("grounded"),
         F.substring(F.coalesce(parsed["reason"], F.lit("")), 1, 120).alias("reason"),
-        F.substring(F.trim(F.coalesce(parsed["refined_search"], F.lit(""))), 1, 200).alias("refined_search"))
+        F.substring(trimmed(F.coalesce(parsed["refined_search"], F.lit(""))), 1, 200).alias("refined_search"))
 
 
 def sse_payload(line: Column) -> Column:

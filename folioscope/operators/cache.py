@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import trimmed
 from folioscope.operators.vector import cosine_guarded
 
 
@@ -31,8 +32,8 @@ def evict(entries: DataFrame, most: int = 400) -> DataFrame:
 
 def store(entries: DataFrame, new: DataFrame, most: int = 400) -> DataFrame:
     """Entries with new ones put in: blank questions and answers under eight characters are left out, long ones cut."""
-    fit = new.where((F.trim("query_text") != "") & (F.length(F.trim("answer_text")) >= 8))
-    cutoff = fit.withColumns({"query_text": F.substring(F.trim("query_text"), 1, 4000), "answer_text": F.substring(F.trim("answer_text"), 1, 120000)})
+    fit = new.where((trimmed(F.col("query_text")) != "") & (F.length(trimmed(F.col("answer_text"))) >= 8))
+    cutoff = fit.withColumns({"query_text": F.substring(trimmed(F.col("query_text")), 1, 4000), "answer_text": F.substring(trimmed(F.col("answer_text")), 1, 120000)})
     keyed = cutoff.withColumn("query_hash", query_hash(F.col("query_text")))
     return evict(newest(entries.unionByName(keyed.select(*entries.columns))), most)
 

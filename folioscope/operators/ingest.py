@@ -85,7 +85,7 @@ def metadata(meta_json: Column) -> Column:
 
 
 def contained(path: Column, root: str) -> Column:
-    """Whether a path, once its . and .. are gone, is below the root; a path that leaves the root on its way isn't."""
+    """Whether a path, once its . and .. are gone, is below the root, whatever it passes on its way."""
     steps = F.filter(F.split(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)), r"[/\\\\]"), lambda s: ~s.isin("", "."))
     walked = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))))
     return F.concat(F.lit("/"), F.array_join(walked, "/")).startswith("/" + root.strip("/") + "/")

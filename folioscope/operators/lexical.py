@@ -173,6 +173,13 @@ def fts_reranked(index: LexicalIndex, chunks: DataFrame, terms: DataFrame, top_k
     return postprocess(fts_pool(index, chunks, terms, min(200, max(top_k * config.oversample, top_k)), config), top_k, config)
 
 
+def _holding(pairs: DataFrame, chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """Of (query_id, chunk_id) those whose text any keyword of the query matches; a text is read and lower-cased once."""
+    asked = pairs.join(words, "query_id").groupBy("chunk_id").agg(F.collect_list(F.struct("query_id", "keywords")).alias("asked"))  # at most the batch
+    fit = F.transform(F.array(F.lower("text")), lambda low: F.filter("asked", lambda q: F.exists(q["keywords"], lambda k: substring.like(low, k))))[0]
+    return asked.join(chunks.select("chunk_id", "text"), "chunk_id").select("chunk_id", F.explode(fit).alias("q")).select("q.query_id", "chunk_id")
+
+
 def like_fallback(chunks: DataFrame, terms: DataFrame, top_k: int, limit: int = 120, config: RetrievalConfig = RetrievalConfig(), grams: substring.GramIndex | None = None) -> DataFrame:
     """Substring search for queries that full text can't serve: the first `limit` chunks with any keyword, by the keywords' number.
 
@@ -180,11 +187,17 @@ def like_fallback(chunks: DataFrame, terms: DataFrame, top_k: int, limit: int =
     grams: the stored runs of the chunks' texts; without them they are built for this call. Texts join late."""
     from folioscope.operators.fusion import postprocess
 
-    grams = grams or substring.stored(substring.build(chunks))
+    limit = max(1, min(2000, limit))
+    grams, words = grams or substring.stored(substring.build(chunks)), cut(keyword_lists(terms))
     asked = terms.select(F.col("term").alias("pattern_id"), F.col("term").alias("pattern")).distinct()
-    hits = substring.search(grams, chunks, asked).withColumnRenamed("pattern_id", "term")
-    found = hits.join(terms.select("query_id", "term").distinct(), "term").select("query_id", "chunk_id").distinct()
-    first = ranked(found, max(1, min(2000, limit)), F.col("chunk_id"), name="scan_rank").join(chunks, "chunk_id").join(keyword_lists(terms), "query_id")
+    maybe = substring.possible(grams, chunks, asked).join(terms.select("query_id", F.col("term").alias("pattern_id")).distinct(), "pattern_id").select("query_id", "chunk_id").distinct()
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("chunk_id"))
+    placed = cut(maybe.withColumn("place", place))
+    held = cut(_holding(placed.where(F.col("place") <= 4 * limit), chunks, words))
+    full = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+    rest = placed.where(F.col("place") > 4 * limit).join(full, "query_id", "left_anti")  # of queries that the first candidates didn't fill, all others
+    found = held.unionByName(_holding(rest, chunks, words))
+    first = ranked(found, limit, F.col("chunk_id"), name="scan_rank").join(chunks, "chunk_id").join(words, "query_id")
     count = F.expr("aggregate(keywords, 0L, (s, k) -> s + (length(text) - length(replace(text, k, ''))) div length(k))")
     scored = rerank(first.withColumn("bm25", -count.cast("double")), config)
     return postprocess(ranked(scored, limit, F.col("rr").desc(), F.col("scan_rank")), top_k, config)

@@ -85,6 +85,14 @@ def like(low: Column, pattern: Column) -> Column:
     return F.when(pattern.rlike("[%_]"), wild).otherwise(F.contains(low, F.lower(pattern)))
 
 
+def possible(index: GramIndex, chunks: DataFrame, patterns: DataFrame, rarest: int = 1) -> DataFrame:
+    """(pattern_id, chunk_id) that hold every match and more: chunks with a pattern's rarest run, all chunks for one without any run."""
+    named = cut(runs(index, patterns, rarest))
+    loose = patterns.join(named.select("pattern_id").distinct(), "pattern_id", "left_anti").agg(F.collect_list("pattern_id").alias("loose"))  # one row
+    each = chunks.where(F.col("text").isNotNull()).select("chunk_id").crossJoin(F.broadcast(loose)).where(F.size("loose") > 0).select(F.explode("loose").alias("pattern_id"), "chunk_id")
+    return candidates(index, named).unionByName(each)
+
+
 def search(index: GramIndex, chunks: DataFrame, patterns: DataFrame, rarest: int = 3, list_upto: int = 200) -> DataFrame:
     """(pattern_id, chunk_id) of the chunks whose text matches %pattern%, whatever the case; % and _ are wildcards.
 

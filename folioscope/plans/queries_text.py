@@ -176,19 +176,29 @@ def delete_document(c: Corpus) -> DataFrame:
     return ingest.delete_document(tables, docs.where("doc_id = 'src1'"))["vectors"]
 
 
-_VERDICTS = ['so: {"grounded": "No", "reason": "r", "refined_search": " x "} end', '{"grounded": true}', "none", '{"reason": "only"}', '{broken']
-_RAW = ", ".join(f"({i}, '{v}')" for i, v in enumerate(_VERDICTS))
+# Model answers made of the turns: every kind of reply by the turn's number, the turn's own words as reason or content.
+_WORDS = "regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', '', 'g')"
 
 
-@query("SELECT * FROM (VALUES (0, false, 'r', 'x'), (1, true, '', ''), (2, true, '', ''), (3, true, 'only', ''), (4, true, '', '')) AS t(id, grounded, reason, refined_search)")
+@query(f"""WITH t AS (SELECT conv_id, turn, substr({_WORDS}, 1, 40) AS w FROM conversations)
+    SELECT conv_id, turn, turn % 4 <> 0 AS grounded, CASE WHEN turn % 4 IN (0, 3) THEN w ELSE '' END AS reason, CASE WHEN turn % 4 = 0 THEN 'again' ELSE '' END AS refined_search FROM t""")
 def self_rag_verdict(c: Corpus) -> DataFrame:
-    return c.spark.sql(f"SELECT * FROM VALUES {_RAW} AS t(id, raw)").select("id", questions.verdict(F.col("raw")).alias("v")).select("id", "v.*")
+    """A reply around each turn: refused with a reason, grounded, no JSON at all, a reason only."""
+    w = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", ""), 1, 40)
+    kind = F.col("turn") % 4
+    raw = (F.when(kind == 0, F.concat(F.lit('so: {"grounded": "No", "reason": "'), w, F.lit('", "refined_search": " again "} end'))).when(kind == 1, F.lit('{"grounded": true}'))
+           .when(kind == 2, w).otherwise(F.concat(F.lit('{"reason": "'), w, F.lit('"}'))))
+    return c.table("conversations").select("conv_id", "turn", questions.verdict(raw).alias("v")).select("conv_id", "turn", "v.*")
 
 
-@query("SELECT * FROM (VALUES (0, NULL, NULL), (1, '[DONE]', NULL), (2, '{\"choices\":[{\"delta\":{\"content\":\"hi\"}}]}', 'hi'), (3, NULL, NULL)) AS t(id, payload, delta)")
+@query(f"""WITH t AS (SELECT conv_id, turn, substr({_WORDS}, 1, 40) AS w FROM conversations)
+    SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN '[DONE]' WHEN 2 THEN '{{"choices":[{{"delta":{{"content":"' || w || '"}}}}]}}' END AS payload, CASE WHEN turn % 3 = 2 THEN w END AS delta FROM t""")
 def sse_parse(c: Corpus) -> DataFrame:
-    rows = c.spark.createDataFrame([(0, ": ping"), (1, "data: [DONE]"), (2, 'data: {"choices":[{"delta":{"content":"hi"}}]}'), (3, "")], "id int, line string")
-    return rows.select("id", questions.sse_payload(F.col("line")).alias("payload"), questions.sse_delta(F.col("line")).alias("delta"))
+    """A line of an event stream for each turn: a comment, the end, a piece of an answer."""
+    w = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", ""), 1, 40)
+    kind = F.col("turn") % 3
+    line = F.when(kind == 0, F.concat(F.lit(": "), w)).when(kind == 1, F.lit("data: [DONE]")).otherwise(F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), w, F.lit('"}}]}')))
+    return c.table("conversations").select("conv_id", "turn", questions.sse_payload(line).alias("payload"), questions.sse_delta(line).alias("delta"))
 
 
 @query(r"SELECT doc_id, '\[' || doc_id || '\] [' || doc_id || '](u)' AS escaped FROM documents")
