@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import RetrievalConfig
 from folioscope.functions.analysis import fast_terms
-from folioscope.operators import cache, clusters, evaluate, fusion, graph, ingest, lexical, substring, vector
+from folioscope.operators import cache, clusters, evaluate, fusion, graph, ingest, lexical, quantile, substring, vector
 from folioscope.plans import retrieve
 from folioscope.plans.registry import Corpus, query
 from folioscope.session import cut
@@ -368,7 +368,7 @@ def latency_stats(c: Corpus) -> DataFrame:
 def percentile_break(c: Corpus) -> DataFrame:
     following = F.expr("lead(embedding) OVER (PARTITION BY cluster ORDER BY chunk_id)")
     gaps = c.vectors.withColumn("f", following).select(F.col("cluster").alias("label"), (1.0 - vector.dot(F.col("embedding"), F.col("f"))).alias("gap"))
-    return gaps.groupBy("label").agg(F.round(F.percentile("gap", 0.78), 6).alias("threshold"), F.count("gap").alias("n"))
+    return quantile.percentile(gaps, "label", "gap", 0.78).select("label", F.round("percentile", 6).alias("threshold"), "n")
 
 
 @query(base() + r""", b AS (SELECT query_id, CAST(rank AS BIGINT) AS pos, chunk_id FROM rr WHERE rank <= 5) SELECT query_id, pos, chunk_id, path FROM b JOIN chunks USING (chunk_id)""")
