@@ -78,7 +78,7 @@ def stored(index: LexicalIndex, path: str | None = None) -> LexicalIndex:
     return read_index(spark, path)
 
 
-def _parts(terms: DataFrame) -> DataFrame:
+def parts_of(terms: DataFrame) -> DataFrame:
     """(query_id, term_no, offset, term, n): the tokens of each term."""
     return cut(terms.select("query_id", F.col("pos").alias("term_no"), F.posexplode(tokens(F.col("term"))).alias("offset", "term"), F.size(tokens(F.col("term"))).alias("n")))
 
@@ -95,27 +95,38 @@ def _phrases(index: LexicalIndex, parts: DataFrame, wanted: Column) -> DataFrame
     return whole.groupBy("query_id", "term_no", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _wanted(parts: DataFrame) -> Column:
-    """A filter for the scan of postings by a batch's tokens, if they are few."""
-    some = [r["term"] for r in parts.select("term").distinct().limit(LISTED + 1).collect()]
-    return F.col("term").isin(some) if len(some) <= LISTED else F.col("term").isNotNull()
+def listed(rows: DataFrame, name: str) -> Column:
+    """A filter for the scan of a stored table by a batch's values of one column, if they are few."""
+    some = [r[name] for r in rows.select(name).distinct().limit(LISTED + 1).collect()]
+    return F.col(name).isin(some) if len(some) <= LISTED else F.col(name).isNotNull()
 
 
 def matches(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     """(query_id, term_no, chunk_id, tf) for terms (query_id, pos, term). A term of several tokens is a phrase."""
-    parts = _parts(terms)
-    wanted = _wanted(parts)
+    parts = parts_of(terms)
+    wanted = listed(parts, "term")
     single = index.postings.where(wanted).select("term", "chunk_id", "tf").join(parts.where("n = 1"), "term").select("query_id", "term_no", "chunk_id", "tf")
     phrases = _phrases(index, parts, wanted)
     return single if phrases is None else single.unionByName(phrases)
 
 
+def weight() -> Column:
+    """Of a term found in df of n chunks."""
+    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
+
+
+def gain() -> Column:
+    """What tf places of a term give a chunk of dl tokens, before the term's weight."""
+    return (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
 def bm25(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     """(query_id, chunk_id, bm25), smaller is better, for chunks with any term. Terms in half of the chunks or more weigh 1e-6.
 
     A token's number of chunks is the index's own, a phrase's is counted; postings are read once for either."""
-    parts = _parts(terms)
-    wanted = _wanted(parts)
+    parts = parts_of(terms)
+    wanted = listed(parts, "term")
     rare = parts.where("n = 1").join(index.frequencies, "term").select("query_id", "term_no", "term", "df")
     hits = index.postings.where(wanted).select("term", "chunk_id", "tf").join(rare, "term").select("query_id", "term_no", "chunk_id", "tf", "df")
     phrases = _phrases(index, parts, wanted)
@@ -123,10 +134,7 @@ def bm25(index: LexicalIndex, terms: DataFrame) -> DataFrame:
         phrases = cut(phrases)
         hits = hits.unionByName(phrases.join(phrases.groupBy("query_id", "term_no").agg(F.count(F.lit(1)).alias("df")), ["query_id", "term_no"]))
     all_in = hits.join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.totals))  # one row
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return all_in.withColumn("part", part).groupBy("query_id", "chunk_id").agg(F.round(-F.sum("part"), 9).alias("bm25"))
+    return all_in.withColumn("part", weight() * gain()).groupBy("query_id", "chunk_id").agg(F.round(-F.sum("part"), 9).alias("bm25"))
 
 
 def coverage(text: Column, keywords: Column) -> Column:

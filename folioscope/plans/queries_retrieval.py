@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import RetrievalConfig
 from folioscope.functions.analysis import fast_terms
-from folioscope.operators import cache, clusters, evaluate, fusion, graph, ingest, lexical, quantile, substring, vector
+from folioscope.operators import blocks, cache, clusters, evaluate, fusion, graph, ingest, lexical, quantile, substring, vector
 from folioscope.plans import retrieve
 from folioscope.plans.registry import Corpus, query
 from folioscope.session import cut
@@ -28,6 +28,12 @@ def bm25_topk(c: Corpus) -> DataFrame:
     return lexical.ranked(lexical.bm25(c.index, c.terms), TOP, F.col("bm25"), F.col("chunk_id"), name="bm25_rank")
 
 
+@query(base() + f" SELECT query_id, chunk_id, bm25, bm25_rank FROM pool WHERE bm25_rank <= {TOP}")
+def bm25_bounded(c: Corpus) -> DataFrame:
+    """bm25_topk from blocks that may hold one of the best chunks."""
+    return blocks.bm25_best(c.index, c.blocks, c.terms, TOP)
+
+
 @query(base() + thinned("rr", TOP) + " SELECT query_id, chunk_id, path, rank, rr FROM final")
 def fts_reranked(c: Corpus) -> DataFrame:
     return lexical.fts_reranked(c.index, c.chunks, c.terms, TOP).select("query_id", "chunk_id", "path", "rank", "rr")

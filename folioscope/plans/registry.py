@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.analysis import query_terms
-from folioscope.operators import clusters, lexical, substring
+from folioscope.operators import blocks, clusters, lexical, substring
 from folioscope.session import cut, fingerprint, ship_package, table
 
 QUERIES: dict[str, Callable] = {}
@@ -64,6 +64,11 @@ class Corpus:
     def index(self) -> lexical.LexicalIndex:
         return self.stored("postings", "documents", lambda docs: lexical.stored(lexical.build_index(docs.select(F.col("doc_id").alias("chunk_id"), "text"))))
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """The index in blocks of chunks with their bounds."""
+        return self.stored("blocks", "documents", lambda _: blocks.stored(blocks.build(self.index)))
+
     @cached_property
     def grams(self) -> substring.GramIndex:
         return self.stored("grams", "documents", lambda docs: substring.stored(substring.build(docs.select(F.col("doc_id").alias("chunk_id"), "text"))))
