@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,19 +47,19 @@ def is_stop_word(term: Column) -> Column:
     return term.isin(*sorted(STOP_WORDS))
 
 
-def positions(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
+def positions(rows: DataFrame, id_col: str, text: Column, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """(id, pos, term) of each token, pos from 0."""
-    return rows.select(id_col, F.posexplode(tokens(text)).alias("pos", "term"))
+    return rows.select(id_col, F.posexplode(split(text)).alias("pos", "term"))
 
 
-def query_terms(queries: DataFrame, document_frequency: DataFrame, n_documents: DataFrame, max_terms: int = 14, least_chars: int = 1) -> DataFrame:
+def query_terms(queries: DataFrame, document_frequency: DataFrame, n_documents: DataFrame, max_terms: int = 14, least_chars: int = 1, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """(query_id, pos, term): of each query's max_terms terms of largest tf-idf those that aren't stop words, first come
     first of equals.
 
     document_frequency: (term, df); n_documents: one row (n). Unseen terms have df 0. A query with fewer than two such
     terms has its first max_terms tokens that aren't stop words, in order and as often as they stand; one without any is
-    its own term, trimmed. Terms shorter than least_chars count as stop words."""
-    seen = cut(positions(queries.select("query_id", "text"), "query_id", F.col("text")))
+    its own term, trimmed. Terms shorter than least_chars count as stop words. split: how the index parts its texts."""
+    seen = cut(positions(queries.select("query_id", "text"), "query_id", F.col("text"), split))
     counted = seen.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first"))
     weighed = counted.join(document_frequency, "term", "left").crossJoin(F.broadcast(n_documents.select("n")))  # one row
     weight = F.round(F.col("tf") * F.log((F.col("n") + 1.0) / (F.coalesce("df", F.lit(0)) + 0.5)), 9)

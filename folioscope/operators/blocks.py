@@ -77,7 +77,7 @@ def bm25_best(index: LexicalIndex, blocks: DataFrame, terms: DataFrame, k: int)
     ties by chunk_id. Phrases have no bounds: queries with one are ranked in full.
 
     Null or unknown terms find nothing, a term that stands twice in a query counts twice; a query without a hit has no row."""
-    parts = lexical.parts_of(terms)
+    parts = lexical.parts_of(index, terms)
     phrased = parts.where("n > 1").select("query_id").distinct()
     _, first, rest, asked = _opened(index, blocks, parts.join(phrased, "query_id", "left_anti"), k)
     found = first.unionByName(_scored(blocks, asked, rest))
@@ -89,7 +89,7 @@ def bm25_best(index: LexicalIndex, blocks: DataFrame, terms: DataFrame, k: int)
 def opened(index: LexicalIndex, blocks: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """(query_id, blocks, opened, postings, scored) of queries without a phrase: blocks with any term and those opened,
     their postings and those scored."""
-    parts = lexical.parts_of(terms)
+    parts = lexical.parts_of(index, terms)
     bounds, _, rest, _ = _opened(index, blocks, parts.join(parts.where("n > 1").select("query_id").distinct(), "query_id", "left_anti"), k)
     seeds = lexical.ranked(bounds, k, F.col("bound").desc(), F.col("block"), name="place").select("query_id", "block")
     marked = bounds.join(seeds.unionByName(rest.select("query_id", "block")).withColumn("open", F.lit(1)), ["query_id", "block"], "left")

@@ -6,6 +6,7 @@ small batch reads the row groups of its terms only, and positions are read for p
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,25 +26,27 @@ LISTED = 200  # terms of a batch that are pushed to the scan of postings as a li
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (term, chunk_id, tf, positions), frequencies (term, df), lengths (chunk_id, dl), totals (n, avgdl: one row)."""
+    """postings (term, chunk_id, tf, positions), frequencies (term, df), lengths (chunk_id, dl), totals (n, avgdl: one row).
+    split: what parts its texts, and the terms asked of it, into tokens; words.splitter reads Han runs as words."""
 
     postings: DataFrame
     frequencies: DataFrame
     lengths: DataFrame
     totals: DataFrame
+    split: Callable[[Column], Column] = tokens
 
     def document_frequency(self) -> DataFrame:
         return self.frequencies
 
 
-def build_index(chunks: DataFrame, span_chars: int = 0) -> LexicalIndex:
+def build_index(chunks: DataFrame, span_chars: int = 0, split: Callable[[Column], Column] = tokens) -> LexicalIndex:
     """Index of (chunk_id, text); only the first span_chars characters if that is positive. Built from live chunks, so nothing stale counts."""
     text = F.substring("text", 1, span_chars) if span_chars else F.col("text")
-    places = positions(chunks, "chunk_id", text)
+    places = positions(chunks, "chunk_id", text, split)
     postings = places.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    lengths = chunks.select("chunk_id", F.size(tokens(text)).cast("long").alias("dl"))
+    lengths = chunks.select("chunk_id", F.size(split(text)).cast("long").alias("dl"))
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return LexicalIndex(postings.select("term", "chunk_id", "tf", "positions"), frequencies, lengths, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+    return LexicalIndex(postings.select("term", "chunk_id", "tf", "positions"), frequencies, lengths, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), split)
 
 
 def write_postings(index: LexicalIndex, path: str) -> None:
@@ -66,8 +69,8 @@ def write_index(index: LexicalIndex, path: str) -> None:
     read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def read_index(spark: SparkSession, path: str) -> LexicalIndex:
-    return LexicalIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "lengths", "totals")])
+def read_index(spark: SparkSession, path: str, split: Callable[[Column], Column] = tokens) -> LexicalIndex:
+    return LexicalIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "lengths", "totals")], split)
 
 
 def stored(index: LexicalIndex, path: str | None = None) -> LexicalIndex:
@@ -75,12 +78,13 @@ def stored(index: LexicalIndex, path: str | None = None) -> LexicalIndex:
     spark = index.postings.sparkSession
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     write_index(index, path)
-    return read_index(spark, path)
+    return read_index(spark, path, index.split)
 
 
-def parts_of(terms: DataFrame) -> DataFrame:
+def parts_of(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     """(query_id, term_no, offset, term, n): the tokens of each term."""
-    return cut(terms.select("query_id", F.col("pos").alias("term_no"), F.posexplode(tokens(F.col("term"))).alias("offset", "term"), F.size(tokens(F.col("term"))).alias("n")))
+    split = terms.select("query_id", F.col("pos").alias("term_no"), index.split(F.col("term")).alias("tokens"))
+    return cut(split.select("query_id", "term_no", F.posexplode("tokens").alias("offset", "term"), F.size("tokens").alias("n")))
 
 
 def _phrases(index: LexicalIndex, parts: DataFrame, wanted: Column) -> DataFrame | None:
@@ -103,7 +107,7 @@ def listed(rows: DataFrame, name: str) -> Column:
 
 def matches(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     """(query_id, term_no, chunk_id, tf) for terms (query_id, pos, term). A term of several tokens is a phrase."""
-    parts = parts_of(terms)
+    parts = parts_of(index, terms)
     wanted = listed(parts, "term")
     single = index.postings.where(wanted).select("term", "chunk_id", "tf").join(parts.where("n = 1"), "term").select("query_id", "term_no", "chunk_id", "tf")
     phrases = _phrases(index, parts, wanted)
@@ -125,7 +129,7 @@ def bm25(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     """(query_id, chunk_id, bm25), smaller is better, for chunks with any term. Terms in half of the chunks or more weigh 1e-6.
 
     A token's number of chunks is the index's own, a phrase's is counted; postings are read once for either."""
-    parts = parts_of(terms)
+    parts = parts_of(index, terms)
     wanted = listed(parts, "term")
     rare = parts.where("n = 1").join(index.frequencies, "term").select("query_id", "term_no", "term", "df")
     hits = index.postings.where(wanted).select("term", "chunk_id", "tf").join(rare, "term").select("query_id", "term_no", "chunk_id", "tf", "df")
