@@ -188,8 +188,9 @@ def fts_reranked(index: LexicalIndex, chunks: DataFrame, terms: DataFrame, top_k
 def _holding(pairs: DataFrame, chunks: DataFrame, words: DataFrame) -> DataFrame:
     """Of (query_id, chunk_id) those whose text any keyword of the query matches; a text is read and lower-cased once."""
     asked = pairs.join(words, "query_id").groupBy("chunk_id").agg(F.collect_list(F.struct("query_id", "keywords")).alias("asked"))  # at most the batch
-    fit = F.transform(F.array(F.lower("text")), lambda low: F.filter("asked", lambda q: F.exists(q["keywords"], lambda k: substring.like(low, k))))[0]
-    return asked.join(chunks.select("chunk_id", "text"), "chunk_id").select("chunk_id", F.explode(fit).alias("q")).select("q.query_id", "chunk_id")
+    low = asked.join(chunks.select("chunk_id", "text"), "chunk_id").select("chunk_id", F.lower("text").alias("low"), "asked")
+    each = low.select("chunk_id", "low", F.explode("asked").alias("q"))  # the test is above it, so it runs once a pair
+    return each.where(F.exists("q.keywords", lambda k: substring.like(F.col("low"), k))).select("q.query_id", "chunk_id")
 
 
 def like_fallback(chunks: DataFrame, terms: DataFrame, top_k: int, limit: int = 120, config: RetrievalConfig = RetrievalConfig(), grams: substring.GramIndex | None = None) -> DataFrame:
@@ -201,14 +202,23 @@ def like_fallback(chunks: DataFrame, terms: DataFrame, top_k: int, limit: int =
 
     limit = max(1, min(2000, limit))
     grams, words = grams or substring.stored(substring.build(chunks)), cut(keyword_lists(terms))
-    asked = terms.select(F.col("term").alias("pattern_id"), F.col("term").alias("pattern")).distinct()
-    maybe = substring.possible(grams, chunks, asked).join(terms.select("query_id", F.col("term").alias("pattern_id")).distinct(), "pattern_id").select("query_id", "chunk_id").distinct()
+    asked = terms.select("query_id", F.col("term").alias("pattern_id"), F.col("term").alias("pattern")).distinct()
+    patterns = lambda some: some.select("pattern_id", "pattern").distinct()
+    queries = lambda pairs, some: pairs.join(some.select("query_id", "pattern_id"), "pattern_id").select("query_id", "chunk_id").distinct()
+    # a query's first candidates are among the first of each of its keywords
+    near = queries(substring.possible(grams, chunks, patterns(asked), 4 * limit), asked)
     place = F.row_number().over(W.partitionBy("query_id").orderBy("chunk_id"))
-    placed = cut(maybe.withColumn("place", place))
-    held = cut(_holding(placed.where(F.col("place") <= 4 * limit), chunks, words))
-    full = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
-    rest = placed.where(F.col("place") > 4 * limit).join(full, "query_id", "left_anti")  # of queries that the first candidates didn't fill, all others
-    found = held.unionByName(_holding(rest, chunks, words))
+    near = cut(near.withColumn("place", place).where(F.col("place") <= 4 * limit))
+    held = cut(_holding(near, chunks, words))
+    filled = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+    more = near.where(F.col("place") == 4 * limit).select("query_id", F.col("chunk_id").alias("last")).join(filled, "query_id", "left_anti")
+    more = cut(more)  # queries that have candidates beyond and need them: all of these are read
+    found = held
+    if not more.isEmpty():
+        asking = cut(asked.join(more.select("query_id"), "query_id", "left_semi"))
+        some = patterns(asking)
+        held_by = queries(substring.confirmed(substring.possible(grams, chunks, some), chunks, some), asking)  # a word is looked for once, whoever asks
+        found = held.unionByName(held_by.join(more, "query_id").where("chunk_id > last").select("query_id", "chunk_id"))
     first = ranked(found, limit, F.col("chunk_id"), name="scan_rank").join(chunks, "chunk_id").join(words, "query_id")
     count = F.expr("aggregate(keywords, 0L, (s, k) -> s + (length(text) - length(replace(text, k, ''))) div length(k))")
     scored = rerank(first.withColumn("bm25", -count.cast("double")), config)

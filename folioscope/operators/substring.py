@@ -68,12 +68,16 @@ def runs(index: GramIndex, patterns: DataFrame, rarest: int = 3) -> DataFrame:
     return weighed.withColumn("place", place).where(F.col("place") <= rarest).select("pattern_id", "head")
 
 
+def _of(postings: DataFrame, begun: DataFrame, list_upto: int) -> DataFrame:
+    """Postings of the grams of begun and maybe more: up to list_upto grams are pushed to the scan as a list."""
+    some = [r["gram"] for r in begun.select("gram").distinct().limit(list_upto + 1).collect()]
+    return postings.where(F.col("gram").isin(some)) if len(some) <= list_upto else postings
+
+
 def candidates(index: GramIndex, named: DataFrame, list_upto: int = 200) -> DataFrame:
     """(pattern_id, chunk_id) of the chunks that have all `runs` of a pattern. Up to list_upto runs are pushed to the scan as a list."""
     begun = cut(named.select("head").distinct().join(_heads(index.frequencies), "head").select("head", "gram"))
-    some = [r["gram"] for r in begun.select("gram").distinct().limit(list_upto + 1).collect()]
-    postings = index.postings.where(F.col("gram").isin(some)) if len(some) <= list_upto else index.postings
-    held = postings.join(begun, "gram").join(named, "head").groupBy("pattern_id", "chunk_id").agg(F.count_distinct("head").alias("n"))
+    held = _of(index.postings, begun, list_upto).join(begun, "gram").join(named, "head").groupBy("pattern_id", "chunk_id").agg(F.count_distinct("head").alias("n"))
     needed = named.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
     return held.join(needed, ["pattern_id", "n"]).select("pattern_id", "chunk_id")
 
@@ -85,12 +89,26 @@ def like(low: Column, pattern: Column) -> Column:
     return F.when(pattern.rlike("[%_]"), wild).otherwise(F.contains(low, F.lower(pattern)))
 
 
-def possible(index: GramIndex, chunks: DataFrame, patterns: DataFrame, rarest: int = 1) -> DataFrame:
-    """(pattern_id, chunk_id) that hold every match and more: chunks with a pattern's rarest run, all chunks for one without any run."""
-    named = cut(runs(index, patterns, rarest))
+def possible(index: GramIndex, chunks: DataFrame, patterns: DataFrame, first: int | None = None) -> DataFrame:
+    """(pattern_id, chunk_id) that hold every match and more: chunks with a pattern's rarest run, all chunks for one without any run.
+
+    first: of each pattern those with the smallest ids only, so many at most."""
+    named = cut(runs(index, patterns, 1))
+    begun = cut(named.select("head").distinct().join(_heads(index.frequencies), "head").select("head", "gram").join(named, "head").select("gram", "pattern_id"))
     loose = patterns.join(named.select("pattern_id").distinct(), "pattern_id", "left_anti").agg(F.collect_list("pattern_id").alias("loose"))  # one row
     each = chunks.where(F.col("text").isNotNull()).select("chunk_id").crossJoin(F.broadcast(loose)).where(F.size("loose") > 0).select(F.explode("loose").alias("pattern_id"), "chunk_id")
-    return candidates(index, named).unionByName(each)
+    pairs = _of(index.postings, begun, 200).join(begun, "gram").select("pattern_id", "chunk_id").unionByName(each)
+    if first is not None:  # a short run begins several grams, and a chunk may have many of them: equal ids share a place
+        pairs = pairs.withColumn("place", F.dense_rank().over(W.partitionBy("pattern_id").orderBy("chunk_id"))).where(F.col("place") <= first).drop("place")
+    return pairs.distinct()
+
+
+def confirmed(pairs: DataFrame, chunks: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Of (pattern_id, chunk_id) those whose text matches; a text is read and lower-cased once for all patterns that it may hold."""
+    asked = pairs.join(patterns, "pattern_id").groupBy("chunk_id").agg(F.collect_list(F.struct("pattern_id", "pattern")).alias("asked"))  # at most the batch
+    low = asked.join(chunks.select("chunk_id", "text"), "chunk_id").select("chunk_id", F.lower("text").alias("low"), "asked")
+    each = low.select("chunk_id", "low", F.explode("asked").alias("p"))  # the test is above it, so it runs once a pair
+    return each.where(like(F.col("low"), F.col("p.pattern"))).select("p.pattern_id", "chunk_id")
 
 
 def search(index: GramIndex, chunks: DataFrame, patterns: DataFrame, rarest: int = 3, list_upto: int = 200) -> DataFrame:
@@ -101,9 +119,7 @@ def search(index: GramIndex, chunks: DataFrame, patterns: DataFrame, rarest: int
     texts = chunks.where(F.col("text").isNotNull()).select("chunk_id", "text")
     known = cut(patterns.where(F.col("pattern").isNotNull()).select("pattern_id", "pattern"))
     named = cut(runs(index, known, rarest))
-    maybe = candidates(index, named, list_upto).join(known, "pattern_id").groupBy("chunk_id").agg(F.collect_list(F.struct("pattern_id", "pattern")).alias("asked"))  # at most the batch
-    fit = F.transform(F.array(F.lower("text")), lambda low: F.filter("asked", lambda p: like(low, p["pattern"])))[0]  # a text is read and lower-cased once
-    found = maybe.join(texts, "chunk_id").select("chunk_id", F.explode(fit).alias("p")).select("p.pattern_id", "chunk_id")
+    found = confirmed(candidates(index, named, list_upto), texts, known)
     loose = known.join(named.select("pattern_id").distinct(), "pattern_id", "left_anti").agg(F.collect_list(F.struct("pattern_id", "pattern")).alias("loose"))  # one row
     each = texts.crossJoin(F.broadcast(loose)).where(F.size("loose") > 0).withColumn("p", F.explode("loose"))
     return found.unionByName(each.where(like(F.lower("text"), F.col("p.pattern"))).select("p.pattern_id", "chunk_id"))

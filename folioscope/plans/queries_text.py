@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions import analysis, citations, questions, text
+from folioscope.functions import analysis, citations, questions, tables, text
 from folioscope.operators import ingest, lexical
 from folioscope.plans.registry import Corpus, query
 from folioscope.plans.sql import STOP, base, toks, trim
@@ -51,11 +51,42 @@ def chunk_fixed(c: Corpus) -> DataFrame:
     return c.table("documents").select("doc_id", F.posexplode(text.fixed_chunks(F.col("text"))).alias("chunk_index", "chunk"))
 
 
-@query()
+# Sentences are taken one by one: what a chunk holds so far decides where the next one goes. A sentence beyond the size is cut
+# at its own marks first, where each part begins depends on the one before.
+_CHUNKS = rf"""WITH RECURSIVE para AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS raw FROM (SELECT doc_id, string_split({_NORMAL}, chr(10) || chr(10)) AS l FROM documents)),
+    para2 AS (SELECT doc_id, p, {trim(rf"regexp_replace({trim('raw')}, '[\n\r\t]+', ' ', 'g')")} AS t FROM para),
+    sent AS (SELECT doc_id, p, generate_subscripts(l, 1) AS s, unnest(l) AS t FROM (SELECT doc_id, p, string_split_regex(regexp_replace(t, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) AS l FROM para2 WHERE t <> '')),
+    sent2 AS (SELECT doc_id, p, s, {trim('t')} AS t FROM sent WHERE {trim('t')} <> ''),
+    whole AS (SELECT doc_id, p, string_agg(t, '' ORDER BY s) AS t FROM sent2 GROUP BY doc_id, p),
+    unit AS (SELECT doc_id, p, s, t FROM sent2 JOIN (SELECT doc_id, p FROM whole WHERE length(t) > 900) USING (doc_id, p) UNION ALL SELECT doc_id, p, 0, t FROM whole WHERE length(t) <= 900),
+    cut(doc_id, p, s, k, part, rest) AS (SELECT doc_id, p, s, 0, NULL::VARCHAR, t FROM unit WHERE length(t) > 900
+        UNION ALL SELECT doc_id, p, s, k + 1, substr(rest, 1, e), CASE WHEN e < length(rest) THEN substr(rest, greatest(e - 120, 1) + 1) END FROM
+            (SELECT *, CASE WHEN length(rest) <= 900 THEN length(rest) WHEN weak > 226 THEN weak WHEN strong > 0 THEN strong ELSE 900 END AS e FROM
+                (SELECT *, length(regexp_extract(substr(rest, 1, 900), '(?s)^.*[；;，,、]')) AS weak,
+                           CASE WHEN length(regexp_extract(substr(rest, 1, 900), '(?s)^.*[。！？.!?]')) > 801 THEN length(regexp_extract(substr(rest, 1, 900), '(?s)^.*[。！？.!?]')) ELSE 0 END AS strong FROM cut WHERE rest IS NOT NULL))),
+    piece AS (SELECT doc_id, p, s, 0 AS k, t, false AS is_part FROM unit WHERE length(t) <= 900 UNION ALL SELECT doc_id, p, s, k, {trim('part')}, true FROM cut WHERE {trim('part')} <> ''),
+    placed AS MATERIALIZED (SELECT doc_id, is_part, x.t AS t, length(x.t) AS len, length(w.t) AS whole_len, row_number() OVER (PARTITION BY doc_id ORDER BY p, s, k) AS i,
+        row_number() OVER (PARTITION BY doc_id, p ORDER BY s, k) = 1 AS begins FROM piece x JOIN whole w USING (doc_id, p)),
+    walk(doc_id, i, c, held, part) AS (SELECT doc_id, i, 0, len, is_part FROM placed WHERE i = 1
+        UNION ALL SELECT doc_id, i, CASE WHEN joins THEN c ELSE c + 1 END, CASE WHEN joins AND begins THEN held + 2 + len WHEN joins THEN held + len ELSE len END, is_part FROM
+            (SELECT x.*, w.c, w.held, CASE WHEN x.begins THEN w.held + 2 + x.whole_len <= 900 ELSE NOT x.is_part AND NOT w.part AND w.held + x.len <= 900 END AS joins
+             FROM walk w JOIN placed x ON x.doc_id = w.doc_id AND x.i = w.i + 1)),
+    said AS (SELECT doc_id, c, i, CASE WHEN begins AND i > min(i) OVER (PARTITION BY doc_id, c) THEN chr(10) || chr(10) ELSE '' END || t AS t FROM walk JOIN placed USING (doc_id, i))
+    SELECT doc_id, CAST(c AS INTEGER) AS chunk_index, string_agg(t, '' ORDER BY i) AS text FROM said GROUP BY doc_id, c"""
+
+
+@query(_CHUNKS)
 def chunk_text(c: Corpus) -> DataFrame:
     return text.chunks(c.table("documents"))
 
 
+@query(_CHUNKS)
+def chunk_lateral(c: Corpus) -> DataFrame:
+    """The same chunks by a table function in SQL."""
+    tables.register(c.spark)
+    return tables.lateral(c.table("documents"), "sentence_chunks(d.text)")
+
+
 @query()
 def chunk_semantic(c: Corpus) -> DataFrame:
     return text.chunks(c.table("documents"), "semantic")
