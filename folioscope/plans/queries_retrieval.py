@@ -217,7 +217,17 @@ def postprocess(c: Corpus) -> DataFrame:
     return fusion.postprocess(c.pool, TOP, RetrievalConfig(max_chunks_per_doc=2)).select("query_id", "chunk_id", "rank")
 
 
-@query()
+# Row by row in rank order; what was taken so far decides on the next one.
+_GREEDY = base().replace("WITH ", "WITH RECURSIVE ", 1) + rf""",
+    listed AS MATERIALIZED (SELECT query_id, rank AS i, chunk_id, path, coalesce(path, chr(1)) AS shelf, {trim('substr(text, 1, 160)')} AS start FROM rr),
+    walk(query_id, i, starts, shelves, taken) AS (SELECT DISTINCT query_id, 0, []::VARCHAR[], []::VARCHAR[], false FROM listed
+        UNION ALL SELECT query_id, i, CASE WHEN ok THEN list_append(starts, start) ELSE starts END, CASE WHEN ok THEN list_append(shelves, shelf) ELSE shelves END, ok FROM
+            (SELECT l.*, w.starts, w.shelves, NOT list_contains(w.starts, l.start) AND len(list_filter(w.shelves, lambda x: x = l.shelf)) < 2 AND len(w.starts) < {TOP} AS ok
+             FROM walk w JOIN listed l ON l.query_id = w.query_id AND l.i = w.i + 1))
+    SELECT query_id, chunk_id, path, CAST(row_number() OVER (PARTITION BY query_id ORDER BY i) AS INTEGER) AS rank FROM walk JOIN listed USING (query_id, i) WHERE taken"""
+
+
+@query(_GREEDY)
 def fast_dedup_cap(c: Corpus) -> DataFrame:
     return fusion.greedy_dedup_cap(c.pool, TOP, 2)
 
