@@ -192,7 +192,7 @@ def cross_rerank(c: Corpus) -> DataFrame:
 @query()
 def retrieve_full(c: Corpus) -> DataFrame:
     q = c.document_questions
-    adjacent = graph.adjacent_edges(c.chunks)
+    adjacent = graph.adjacent_edges(c.places)
     return retrieve.retrieve(c.index, c.chunks, c.vectors, q, c.terms_of(q), 4, edges=adjacent, config=RetrievalConfig(graph=True), grams=c.grams)
 
 
@@ -253,7 +253,7 @@ _ADJ = """adj AS (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY source O
 
 @query(f"WITH {_ADJ} SELECT src, dst, 'adjacent' AS rel, 1.0::DOUBLE AS weight FROM adjacent")
 def graph_adjacent(c: Corpus) -> DataFrame:
-    return graph.adjacent_edges(c.chunks)
+    return graph.adjacent_edges(c.places)
 
 
 _TAGS = """, ccount AS (SELECT chunk_id, term, count(*) AS tf FROM ctok GROUP BY ALL),
@@ -267,7 +267,7 @@ _KEY = base() + _TAGS.replace("{stop}", STOP)
 
 
 def _keyword(c: Corpus) -> DataFrame:
-    return graph.keyword_edges(c.chunks, graph.tags_of(c.index.postings, c.frequencies, c.index.totals))
+    return graph.keyword_edges(c.places, graph.tags_of(c.index.postings, c.frequencies, c.index.totals))
 
 
 @query(_KEY + " SELECT src, dst, 'keyword' AS rel, weight FROM keyword")
@@ -281,7 +281,7 @@ _EDGES = f""", {_ADJ}, edges AS (SELECT src, dst, 'adjacent' AS rel, 1.0::DOUBLE
 
 @query(_KEY + _EDGES + " SELECT src, dst, rel, weight FROM edges")
 def graph_edges(c: Corpus) -> DataFrame:
-    return graph.merged_edges(graph.adjacent_edges(c.chunks), _keyword(c))
+    return graph.merged_edges(graph.adjacent_edges(c.places), _keyword(c))
 
 
 @query(_KEY + _EDGES + """, prim AS (SELECT query_id, chunk_id, rank FROM rr WHERE rank <= 10),
@@ -291,7 +291,7 @@ def graph_edges(c: Corpus) -> DataFrame:
     rows AS (SELECT query_id, chunk_id, 0 AS extra, rank AS n FROM prim LEFT JOIN used USING (query_id) WHERE rank <= greatest(0, 10 - coalesce(g, 0)) UNION ALL SELECT query_id, chunk_id, 1, n FROM extra)
     SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY extra, n) AS INTEGER) AS rank, extra = 1 AS extra FROM rows""")
 def graph_expand(c: Corpus) -> DataFrame:
-    edges = graph.merged_edges(graph.adjacent_edges(c.chunks), _keyword(c))
+    edges = graph.merged_edges(graph.adjacent_edges(c.places), _keyword(c))
     return graph.graph_expand(c.pool.where("rank <= 10"), edges, 10)
 
 

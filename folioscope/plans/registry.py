@@ -52,13 +52,17 @@ class Corpus:
             _STORED[key] = build(self.table(name))
         return _STORED[key]
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """Chunks without their texts."""
+        index = F.expr("CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT)")
+        return self.table("documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), index.alias("chunk_index"))
+
     @cached_property
     def chunks(self) -> DataFrame:
         """Places are numbered over ids alone; texts join them afterwards."""
-        index = F.expr("CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT)")
-        docs = self.table("documents")
-        texts = docs.select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "lang", "source").alias("title"), "text")
-        return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), index.alias("chunk_index")).join(texts, "chunk_id").select("chunk_id", "path", "title", "chunk_index", "text")
+        texts = self.table("documents").select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "lang", "source").alias("title"), "text")
+        return self.places.join(texts, "chunk_id").select("chunk_id", "path", "title", "chunk_index", "text")
 
     @cached_property
     def index(self) -> lexical.LexicalIndex:

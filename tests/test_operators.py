@@ -118,3 +118,43 @@ def test_query_of_stop_words_is_its_own_term(spark):
     df = spark.createDataFrame([("river", 1)], "term string, df long")
     got = query_terms(q, df, spark.createDataFrame([(10,)], "n long")).orderBy("query_id", "pos").collect()
     assert [(r["query_id"], r["term"]) for r in got] == [(1, "the of"), (2, "bank"), (2, "river")]
+
+
+def test_an_index_is_counted_without_a_row_for_each_token(spark, monkeypatch):
+    texts = [(1, "One two one. Two one"), (2, None), (3, ""), (4, "two"), (5, "x " * 50 + "one two"), (6, "one"), (6, "two one"), (None, "one"), (None, "one two")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string")
+    want = {}
+    for i, t in texts:
+        for at, w in enumerate((t or "").lower().replace(".", "").split()):
+            want.setdefault((w, i), []).append(at)
+    index = lexical.build_index(chunks)
+    assert {(r["term"], r["chunk_id"]): r["positions"] for r in index.postings.collect()} == {k: sorted(v) for k, v in want.items()}
+    assert all(r["tf"] == len(r["positions"]) for r in index.postings.collect())
+    plan = lexical.build_index(chunks.where("chunk_id < 6")).postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_tokens_are_counted_in_parts():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([["a"] * 3, [], ["b"] * 9, ["c"]])], ["chunk_id", "tokens"])
+    whole = [r for b in lexical._counted([rows]) for r in b.to_pylist()]
+    lexical_at, lexical.AT_ONCE = lexical.AT_ONCE, 4
+    try:
+        assert [p.num_rows for p in lexical._parts(rows)] == [2, 1, 1]
+        assert [r for b in lexical._counted([rows]) for r in b.to_pylist()] == whole
+    finally:
+        lexical.AT_ONCE = lexical_at
+    assert whole[1] == {"term": "b", "chunk_id": 3, "tf": 9, "positions": list(range(9))}
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_phrases_start_from_their_rarest_token(spark, monkeypatch, most):
+    monkeypatch.setattr(lexical, "SENT", most)
+    texts = [(i, "the cat sat") for i in range(30)] + [(40, "the the rare the the the rare the"), (41, "rare the"), (42, "the the"), (43, "sat the cat sat the cat")]
+    index = lexical.stored(lexical.build_index(spark.createDataFrame(texts, "chunk_id long, text string")))
+    terms = spark.createDataFrame([(1, 1, "the-rare-the"), (2, 1, "the rare the"), (3, 1, "the the"), (4, 1, "sat the cat"), (5, 1, "cat the"), (6, 1, "the unseen"), (7, 2, "rare"), (8, 1, "the the the")], "query_id long, pos int, term string")
+    got = {(r["query_id"], r["term_no"], r["chunk_id"]): r["tf"] for r in lexical.matches(index, terms).collect()}
+    assert got == {(1, 1, 40): 2, (2, 1, 40): 2, (3, 1, 40): 3, (3, 1, 42): 1, (4, 1, 43): 2, (7, 2, 40): 2, (7, 2, 41): 1, (8, 1, 40): 1}
+    spots = lexical._phrases(index, lexical.parts_of(index, terms.where("query_id = 1")), lexical.F.lit(True))
+    assert "Generate explode(positions" not in spots._jdf.queryExecution().toString()
