@@ -130,6 +130,10 @@ def test_an_index_is_counted_without_a_row_for_each_token(spark, monkeypatch):
     index = lexical.build_index(chunks)
     assert {(r["term"], r["chunk_id"]): r["positions"] for r in index.postings.collect()} == {k: sorted(v) for k, v in want.items()}
     assert all(r["tf"] == len(r["positions"]) for r in index.postings.collect())
+    kept = chunks.where("chunk_id < 6")
+    held = lexical.stored(lexical.build_index(kept))
+    assert sorted(map(str, held.postings.collect())) == sorted(map(str, lexical.build_index(kept).postings.collect()))
+    assert sorted(map(tuple, held.lengths.collect())) == [(1, 5), (2, 0), (3, 0), (4, 1), (5, 52)]
     plan = lexical.build_index(chunks.where("chunk_id < 6")).postings._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "MapInArrow" in plan
 
@@ -138,11 +142,13 @@ def test_tokens_are_counted_in_parts():
     import pyarrow as pa
 
     rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([["a"] * 3, [], ["b"] * 9, ["c"]])], ["chunk_id", "tokens"])
-    whole = [r for b in lexical._counted([rows]) for r in b.to_pylist()]
+    counted = lambda: sorted((r for b in lexical._unpacked(x.filter(lexical.pc.is_valid(x.column(0))) for x in lexical._packed([rows])) for r in b.to_pylist()), key=lambda r: r["chunk_id"])
+    whole = counted()
     lexical_at, lexical.AT_ONCE = lexical.AT_ONCE, 4
     try:
         assert [p.num_rows for p in lexical._parts(rows)] == [2, 1, 1]
-        assert [r for b in lexical._counted([rows]) for r in b.to_pylist()] == whole
+        assert counted() == whole
+        assert [r["tfs"] for b in lexical._packed([rows]) for r in b.to_pylist() if r["term"] is None] == [[3, 0], [9], [1]]
     finally:
         lexical.AT_ONCE = lexical_at
     assert whole[1] == {"term": "b", "chunk_id": 3, "tf": 9, "positions": list(range(9))}
