@@ -67,7 +67,7 @@ _LIKE = r""", found AS (SELECT query_id, chunk_id, path, text, title, sum(CASE W
 
 @query(base() + _LIKE + thinned("franked", TOP) + " SELECT query_id, chunk_id, rank, bm25, rr FROM final")
 def like_fallback(c: Corpus) -> DataFrame:
-    return lexical.like_fallback(c.chunks, c.terms, TOP, grams=c.grams).select("query_id", "chunk_id", "rank", "bm25", "rr")
+    return lexical.like_fallback(c.chunks, c.terms, TOP, grams=lambda: c.grams).select("query_id", "chunk_id", "rank", "bm25", "rr")
 
 
 _PATTERNS = """p AS (SELECT item_id AS pattern_id, CASE item_id % 4 WHEN 0 THEN substr(text, 6, 9) WHEN 1 THEN upper(substr(text, 3, 4)) || '%' || substr(text, 12, 5)
@@ -193,7 +193,7 @@ def cross_rerank(c: Corpus) -> DataFrame:
 def retrieve_full(c: Corpus) -> DataFrame:
     q = c.document_questions
     adjacent = graph.adjacent_edges(c.places)
-    return retrieve.retrieve(c.index, c.chunks, c.vectors, q, c.terms_of(q), 4, edges=adjacent, config=RetrievalConfig(graph=True), grams=c.grams)
+    return retrieve.retrieve(c.index, c.chunks, c.vectors, q, c.terms_of(q), 4, edges=adjacent, config=RetrievalConfig(graph=True), grams=lambda: c.grams)
 
 
 @query()

@@ -87,3 +87,28 @@ def test_fallback_without_a_nested_loop(spark):
     got = lexical.like_fallback(chunks, terms, 5)
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
     assert sorted((r["query_id"], r["chunk_id"]) for r in got.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]
+
+
+def test_runs_are_gathered_where_a_text_is_read(spark, monkeypatch):
+    texts = [(1, "ABcab"), (2, None), (3, ""), (4, "\U0001f600ab\U0001f600ab"), (5, "x")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string")
+    index = substring.build(chunks)
+    got = {(r["gram"], i) for r in index.postings.collect() for i in r["chunk_ids"]}
+    assert got == {((t.lower() + substring.END)[k : k + 3], i) for i, t in texts if t is not None for k in range(len(t))}
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([(1, "\U0001f600ab"), (2, "b\U0001f600a"), (3, "CA"), (4, "bca%")], "pattern_id long, pattern string")
+    found = sorted(map(tuple, substring.search(substring.stored(index), chunks, asked).collect()))
+    assert found == [(1, 4), (2, 4), (3, 1), (4, 1)]
+
+
+@pytest.mark.parametrize("first", [(), (1,), (1, 2), (16, 64)])
+def test_fallback_takes_the_first_chunks_of_all(spark, monkeypatch, first):
+    from folioscope.operators import lexical
+
+    monkeypatch.setattr(lexical, "FIRST", first)
+    words = ["red", "fox", "tree", "rare"]
+    texts = [(i, f"{words[i % 3]} number {i}" + (" Rare" if i in (5, 37, 39) else "")) for i in range(40)]
+    chunks = spark.createDataFrame([(i, "p%d" % i, "t", i, t) for i, t in texts], "chunk_id long, path string, title string, chunk_index int, text string")
+    terms = spark.createDataFrame([(1, 1, "rare"), (2, 1, "red"), (2, 2, "fox"), (3, 1, "none such")], "query_id long, pos int, term string")
+    got = lexical.like_fallback(chunks, terms, 50, limit=4).collect()
+    assert {q: sorted(r["chunk_id"] for r in got if r["query_id"] == q) for q in (1, 2, 3)} == {1: [5, 37, 39], 2: [0, 1, 3, 4], 3: []}
