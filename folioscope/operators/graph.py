@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions.analysis import is_stop_word, positions
 
 WINDOW, TAGS, LEAST_SHARED = 5, 8, 2  # fixed values
+SENT = 200_000  # terms whose numbers are broadcast to the postings
 
 
 def placed(chunks: DataFrame) -> DataFrame:
@@ -28,12 +29,31 @@ def tags(chunks: DataFrame, document_frequency: DataFrame, totals: DataFrame, n:
     return tags_of(positions(chunks, "chunk_id", F.col("text")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")), document_frequency, totals, n)
 
 
+def _common(frequencies: DataFrame) -> Column:
+    """Which terms are so frequent that no more than SENT are: from half, a quarter and so on of the most frequent one's number."""
+    seen = {r["bits"]: r["n"] for r in frequencies.groupBy(F.floor(F.log2("df")).alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 64 rows at most
+    at, most = max(seen, default=0) + 1, SENT
+    while at > 0 and (most := most - seen.get(at - 1, 0)) >= 0:
+        at -= 1
+    return F.log2("df") >= at
+
+
 def tags_of(postings: DataFrame, document_frequency: DataFrame, totals: DataFrame, n: int = TAGS) -> DataFrame:
-    """tags from an index's (chunk_id, term, tf), without reading the texts."""
-    weighed = postings.select("chunk_id", "term", "tf").where(~is_stop_word(F.col("term"))).join(document_frequency, "term").crossJoin(F.broadcast(totals.select("n")))  # one row
-    weight = F.round(F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 0.5)), 9)
-    best = weighed.withColumn("r", F.row_number().over(W.partitionBy("chunk_id").orderBy(weight.desc(), "term"))).where(F.col("r") <= n)
-    return best.groupBy("chunk_id").agg(F.array_sort(F.collect_list("term")).alias("tags"))
+    """tags from an index's (chunk_id, term, tf), without reading the texts. Numbers of the most frequent terms, which most
+    postings have, are broadcast, so only the best of a chunk's where they are read are shuffled; only rare terms' postings
+    all are."""
+    common, own = _common(document_frequency), postings.select("chunk_id", "term", "tf").where(~is_stop_word(F.col("term")))
+    known = F.broadcast(document_frequency.where(common).select("term", "df"))  # SENT rows at most
+    rare = own.join(known.select("term"), "term", "left_anti").join(document_frequency.where(~common), "term")
+    order = W.partitionBy("chunk_id").orderBy(F.col("weight").desc(), "term")
+
+    def best(rows: DataFrame) -> DataFrame:
+        weight = F.round(F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 0.5)), 9)
+        weighed = rows.crossJoin(F.broadcast(totals.select("n"))).select("chunk_id", "term", weight.alias("weight"))  # one row
+        return weighed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
+
+    both = best(own.join(known, "term")).unionByName(best(rare))
+    return both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).groupBy("chunk_id").agg(F.array_sort(F.collect_list("term")).alias("tags"))
 
 
 def keyword_edges(chunks: DataFrame, tagged: DataFrame) -> DataFrame:
