@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 WEAK_MARKS = "；;，,、"  # fixed values
 SENTENCE_MARKS = "。！？.!?"
+#: All that (?U)\s matches.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(text: Column) -> Column:
-    r"""Without white space of any script at either end (Spark's trim takes blanks only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any script at either end (Spark's trim takes blanks only)."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalize_text(text: Column) -> Column:
     """Line ends as \\n, blanks single, at most one empty line in a row, trimmed."""
     out = F.regexp_replace(text, r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"[ \t\x{3000}]+", " ")
+    out = F.regexp_replace(out, r"[ \t\x{3000}]{2,}|[\t\x{3000}]", " ")  # single blanks stay as they are
     return trimmed(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
@@ -35,9 +37,10 @@ def sentences(paragraph: Column) -> Column:
     """Sentences of one paragraph: up to each run of 。！？ first, then what is left at blanks after . ! or ?.
 
     A trailing part without such an end stays whole. A lookbehind splits without taking the mark."""
+    latin = lambda x: F.split(trimmed(x), r"\s(?<=[.!?]\s)\s*")
     parts = F.split(trimmed(paragraph), r"(?<=[。！？])(?![。！？])")  # linear, where a search for each sentence isn't
-    latin = lambda x: F.split(x, r"(?<=[.!?])\s+")
-    each = F.flatten(F.transform(parts, lambda x: F.when(x.rlike("[。！？]$"), F.array(x)).otherwise(latin(trimmed(x)))))
+    wide = F.flatten(F.transform(parts, lambda x: F.when(x.rlike("[。！？]$"), F.array(x)).otherwise(latin(x))))
+    each = F.when(paragraph.rlike("[。！？]"), wide).otherwise(latin(paragraph))
     return F.filter(F.transform(each, trimmed), lambda s: s != "")
 
 

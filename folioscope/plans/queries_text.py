@@ -25,7 +25,7 @@ def normalize_text(c: Corpus) -> DataFrame:
     s AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(p, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31))) AS s FROM p)
     SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS digest FROM s WHERE s <> '' GROUP BY doc_id""")
 def sentence_split(c: Corpus) -> DataFrame:
-    s = c.table("documents").select("doc_id", text.document_sentences(F.col("text")).alias("s"))
+    s = c.table("documents").select("doc_id", F.explode(F.array(text.document_sentences(F.col("text")))).alias("s"))  # a row each: else the filter would split texts too
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("s"), "|").cast("binary")).alias("digest")).where("n > 0")
 
 
@@ -144,8 +144,7 @@ def bibliography_lines(c: Corpus) -> DataFrame:
 
 @query()
 def glossary_blocks(c: Corpus) -> DataFrame:
-    d = c.table("documents")
-    return d.select("doc_id", citations.is_glossary_block(F.col("text")).alias("glossary"), citations.is_toc_block(F.col("text")).alias("toc"), citations.is_annotation_block(F.col("text")).alias("annotation"))
+    return citations.with_blocks(c.table("documents").select("doc_id", "text")).select("doc_id", "glossary", "toc", "annotation")
 
 
 @query()

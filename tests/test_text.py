@@ -77,3 +77,32 @@ def test_routes(spark, q, route):
 def test_references_are_cut(spark):
     assert one(spark, "a\nb\n## References\nc", questions.strip_references) == "a\nb"
     assert one(spark, "a [1] b [2](u)", questions.escape_citations) == r"a \[1\] b [2](u)"
+
+
+def test_trimming_is_that_of_unicode_white_space(spark):
+    odd = [chr(c) for c in [*range(0x21), 0x7F, 0x85, 0xA0, 0x180E, 0x1680, *range(0x1FFF, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF, 0x1F600]]
+    rows = spark.createDataFrame([(c + " a" + c + "b\n" + c,) for c in odd] + [(c,) for c in odd] + [("",), (None,)], "t string")
+    got = rows.select("t", text.trimmed(F.col("t")).alias("x"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("y")).collect()
+    assert [r["x"] for r in got] == [r["y"] for r in got]
+    assert "regexp" not in rows.select(text.trimmed(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()  # each regular expression reads the whole text
+
+
+def test_texts_are_split_once(spark, tmp_path):
+    from folioscope.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, "One. Two!\nThree", "en"), (2, "", "en"), (3, None, "en"), (4, "好。\u3000行！！ a. b", "zh")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = lambda name: QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan("sentence_split") if "Filter" in line and "split(" in line]
+    assert {r["doc_id"]: r["n"] for r in QUERIES["sentence_split"](spark, str(tmp_path)).collect()} == {1: 3, 4: 4}
+    assert sum(line.count("split(text") for line in plan("glossary_blocks")) == 1
+
+
+def test_long_texts_are_chunked_in_parts():
+    import pyarrow as pa
+
+    long = "A sentence of some words. " * (text.AT_ONCE // 20)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([long, None, "short", long])], ["doc_id", "text"])
+    parts = [p.to_pydict() for p in text._chunked(text.chunk_document)([batch])]
+    assert [sorted(set(p["doc_id"])) for p in parts] == [[1], [3, 4]]
+    want = [(d, i, c) for d, t in ((1, long), (3, "short"), (4, long)) for i, c in enumerate(text.chunk_document(t))]
+    assert [x for p in parts for x in zip(p["doc_id"], p["chunk_index"], p["text"])] == want
