@@ -75,7 +75,7 @@ def is_noise_line(line: Column) -> Column:
 
 
 def full_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"), trimmed), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"), trimmed), lambda x: x != "")
 
 
 def _how_many(lines: Column, test) -> Column:
@@ -84,7 +84,10 @@ def _how_many(lines: Column, test) -> Column:
 
 def is_glossary_block(text: Column) -> Column:
     """Word lists and indexes: pairs of a foreign term and its gloss, or lines in Latin letters with few sentences."""
-    lines = full_lines(text)
+    return _glossary(full_lines(text))
+
+
+def _glossary(lines: Column) -> Column:
     n = F.size(lines)
     titled = F.array_join(F.slice(lines, 1, 36), "\n").rlike(GLOSSARY_WORDS) | (_how_many(F.slice(lines, 1, 22), lambda x: x.isin(*GLOSSARY_TITLES)) > 0)
     # a term's line followed by one that glosses it
@@ -100,7 +103,10 @@ def is_glossary_block(text: Column) -> Column:
 
 def is_toc_block(text: Column) -> Column:
     """Tables of contents: five volume lines, or fewer where the block names itself."""
-    lines = full_lines(text)
+    return _toc(text, full_lines(text))
+
+
+def _toc(text: Column, lines: Column) -> Column:
     volumes = _how_many(lines, is_volume_line)
     named = F.substring(text, 1, 1600).rlike("总目录|版权页")
     return (volumes >= 5) | (named & ((volumes >= 3) | ((volumes >= 2) & (F.size(lines) <= 24))))
@@ -108,13 +114,23 @@ def is_toc_block(text: Column) -> Column:
 
 def is_annotation_block(text: Column) -> Column:
     """Numbers in brackets with captions between, and hardly a line else."""
-    lines = full_lines(text)
+    return _annotation(full_lines(text))
+
+
+def _annotation(lines: Column) -> Column:
     numbers = _how_many(lines, is_bracket_number)
     captions = _how_many(lines, lambda x: is_editorial_caption(x) | (_caption_shape(x) & ~F.substring(x, 1, 8).rlike("[「『（“]")))
     n = F.size(lines)
     return (numbers >= 2) & (captions >= F.greatest(F.lit(1), numbers - 1)) & (numbers + captions >= n - F.greatest(F.lit(2), F.floor(n / 6)))
 
 
+def with_blocks(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds glossary, toc and annotation, whether a text is such a block. Its lines are a column of their own, parted once."""
+    lined = rows.withColumn("__lines", full_lines(F.col(text_col)))
+    lines = F.col("__lines")
+    return lined.withColumns({"glossary": _glossary(lines), "toc": _toc(F.col(text_col), lines), "annotation": _annotation(lines)}).drop("__lines")
+
+
 def is_incomplete(text: Column) -> Column:
     """A short line that breaks off: nothing, or an unended scrap of an entry or clause in Chinese."""
     s = trimmed(text)
