@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ WEAK_MARKS = "；;，,、"  # fixed values
 SENTENCE_MARKS = "。！？.!?"
 #: All that (?U)\s matches.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+AT_ONCE = 1 << 20  # characters of texts that are chunked together
 
 
 def trimmed(text: Column) -> Column:
@@ -199,13 +201,27 @@ def chunk_semantic(text: str | None, size: int = 900, overlap: int = 120, percen
     return [x for c in out for x in (y.strip() for y in (split_long(c, size, overlap) if len(c) > size else [c])) if x]
 
 
+def _chunked(split: Callable[[str | None], list[str]]):
+    """For mapInArrow over (doc_id, text): (doc_id, chunk_index, text) of texts of about AT_ONCE characters at a time, so that a
+    batch of long texts and its chunks are never held whole as Python strings."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = ([], [], []), 0
+            for n in range(batch.num_rows):
+                doc, said = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                found = split(said)
+                for column, values in zip(rows, ([doc] * len(found), range(len(found)), found)):
+                    column.extend(values)
+                held += len(said or "")
+                if held >= AT_ONCE or n + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int32(), pa.string()))], ["doc_id", "chunk_index", "text"])
+                    rows, held = ([], [], []), 0
+
+    return run
+
+
 def chunks(docs: DataFrame, strategy: str = "sentence", size: int = 900, overlap: int = 120, encoder: Callable = hashed_encoder, **options) -> DataFrame:
     """(doc_id, chunk_index, text) of each document's chunks, by the sentence or the semantic strategy."""
     split = (lambda t: chunk_semantic(t, size, overlap, encoder=encoder, **options)) if strategy in ("semantic", "embedding", "semantic_percentile") else (lambda t: chunk_document(t, size, overlap))
-
-    def run(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in it:
-            rows = [(d, i, c) for d, t in zip(pdf["doc_id"], pdf["text"]) for i, c in enumerate(split(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, chunk_index int, text string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunked(split), "doc_id long, chunk_index int, text string")
