@@ -44,29 +44,31 @@ def of_model(vectors: DataFrame, model: str, dim: int) -> DataFrame:
     return wide.crossJoin(F.broadcast(none)).where((F.col("owned") == 0) | (F.col("model") == model)).drop("owned")
 
 
-def _blocks(rows: DataFrame, id_col: str, size: int, eps: float) -> DataFrame:
-    """(width, ids, matrix): up to `size` unit vectors of one width as a matrix of doubles in bytes. Null vectors are left out."""
+def _blocks(rows: DataFrame, id_col: str, size: int, eps: float, group: str | None = None) -> DataFrame:
+    """(width, ids, matrix[, group]): up to `size` unit vectors of one width (and one value of a long column) as a matrix of
+    doubles in bytes. Null vectors are left out."""
 
     def pack(it: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
 
-        def block(width: int) -> pd.DataFrame:
-            part = held.pop(width)
+        def block(key: tuple) -> pd.DataFrame:
+            part, width = held.pop(key), key[0]
             m = np.array([v for _, v in part], dtype=float).reshape(len(part), width)
             n = np.sqrt((m * m).sum(axis=1))
             n[(np.abs(n - 1) < eps) | (n < 1e-12)] = 1.0
-            return pd.DataFrame({"width": [width], "ids": [[i for i, _ in part]], "matrix": [(m / n[:, None]).tobytes()]})
+            out = pd.DataFrame({"width": [width], "ids": [[i for i, _ in part]], "matrix": [(m / n[:, None]).tobytes()]})
+            return out if group is None else out.assign(**{group: [key[1]]})
 
         for pdf in it:
-            for i, v in zip(pdf["id"], pdf["embedding"]):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) == size:
-                    yield block(len(v))
-        for width in list(held):
-            yield block(width)
+            for i, v, *g in zip(*[pdf[c] for c in pdf.columns]):
+                held.setdefault(key := (len(v), *g), []).append((i, v))
+                if len(held[key]) == size:
+                    yield block(key)
+        for key in list(held):
+            yield block(key)
 
-    some = rows.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding")
-    return some.mapInPandas(pack, "width int, ids array<long>, matrix binary")
+    some = rows.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "embedding", *([] if group is None else [F.col(group).cast("long").alias(group)]))
+    return some.mapInPandas(pack, "width int, ids array<long>, matrix binary" + ("" if group is None else f", {group} long"))
 
 
 def best_rows(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, top_k: int) -> pd.DataFrame:
@@ -134,17 +136,26 @@ def centroids_by_label(vectors: DataFrame, label: str = "cluster") -> DataFrame:
     return means.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).select("cluster", F.col("c.x").alias("centroid"))
 
 
-def ivf_probe(queries: DataFrame, centroids: DataFrame, assigned: DataFrame, top_k: int, probes: int = 3, everything: DataFrame | None = None) -> DataFrame:
-    """Exact scores within each query's `probes` nearest clusters (Euclidean distance).
+def ivf_probe(queries: DataFrame, centroids: DataFrame, assigned: DataFrame, top_k: int, probes: int = 3, everything: DataFrame | None = None, spread: int = 16) -> DataFrame:
+    """Exact scores within each query's `probes` nearest clusters (Euclidean distance), by matrix products of blocks of one
+    cluster's queries and vectors. Queries go to `spread` parts of a cluster, so a large one is no hot key.
 
     A query without candidates is searched for in `everything` (chunk_id, embedding), if that is given; else it has no
     rows. The clusters left out are missed: operators.clusters searches with bounds."""
     q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
     gap = F.round(F.sqrt(F.aggregate(F.zip_with("q", "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), DIGITS)
     near = q.crossJoin(F.broadcast(centroids)).withColumn("gap", gap)  # as many centroids as clusters
-    near = near.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("gap", "cluster"))).where(F.col("n") <= probes)
-    pairs = assigned.join(near.select("query_id", "cluster", "q"), "cluster")
-    scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("q"), unit(F.col("embedding"))), DIGITS).alias("similarity"))
+    near = near.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("gap", "cluster"))).where(F.col("n") <= probes).drop("n")
+    near, assigned = cut(near.where("cluster IS NOT NULL")), assigned.where("cluster IS NOT NULL")
+    asked = _blocks(near.select("query_id", "cluster", F.col("q").alias("embedding")), "query_id", 512, float("inf"), "cluster")  # as they are
+    asked = asked.withColumnsRenamed({"width": "q_width", "ids": "q_ids", "matrix": "q_matrix", "cluster": "q_cluster"}).withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    part = F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(spread))
+    held = _blocks(assigned, "chunk_id", 4096, 1e-3, "cluster").withColumn("part", part)
+    pairs = held.join(asked, (F.col("cluster") == F.col("q_cluster")) & (F.col("width") == F.col("q_width")) & (F.col("part") == F.col("q_part")))
+    scored = pairs.mapInPandas(_block_best(top_k), "query_id long, chunk_id long, similarity double").withColumn("similarity", F.round("similarity", DIGITS))
+    first = lambda rows: rows.select("cluster", "chunk_id", F.row_number().over(W.partitionBy("cluster").orderBy("chunk_id")).alias("n")).where(F.col("n") <= top_k)
+    unlike = near.where("q IS NULL").join(first(assigned), "cluster").unionByName(near.where("q IS NOT NULL").join(first(assigned.where("embedding IS NULL")), "cluster"), True)
+    scored = scored.unionByName(unlike.select("query_id", "chunk_id", F.lit(None).cast("double").alias("similarity")))  # null vectors are like none and come last
     order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("chunk_id"))
     found = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
     if everything is None:

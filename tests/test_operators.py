@@ -191,3 +191,21 @@ def test_tags_of_frequent_and_rare_terms(spark, monkeypatch, sent):
     assert {r["chunk_id"]: r["tags"] for r in tags.collect()} == want
     common = index.frequencies.where(graph._common(index.frequencies)).count()
     assert common <= sent and (common > 0) == (sent > 0)
+
+
+def test_clusters_are_probed_by_blocks(spark):
+    rows = [(i, None if i % 23 == 0 else i % 3, None if i % 17 == 4 else [float(i * i % 7) - 3, float(i % 5) - 0.5, float(i % 2)]) for i in range(150)] + [(200, 9, [5.0, 5.0, 5.0]), (201, 9, None)]
+    v = spark.createDataFrame(rows, "chunk_id long, cluster int, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.2, 0.1]), (2, [0.0, 0.0, 0.0]), (3, None), (4, [5.0, 5.0, 4.0])], "query_id long, embedding array<float>")
+    centroids = vector.centroids_by_label(v)
+    unit = lambda x: x if x is None or abs((n := sum(a * a for a in x) ** 0.5) - 1) < 1e-3 or n < 1e-12 else [a / n for a in x]
+    means, want = {r["cluster"]: r["centroid"] for r in centroids.collect()}, set()
+    for i, x in [(r["query_id"], unit(r["embedding"])) for r in q.collect()]:
+        gap = lambda c: (0 if x is None else round(sum((a - b) ** 2 for a, b in zip(x, means[c])) ** 0.5, 6), -1 if c is None else c)
+        near = sorted(means, key=gap)[:2]
+        like = [(k, None if x is None or e is None else round(sum(a * b for a, b in zip(x, unit(e))), 6)) for k, c, e in rows if c is not None and c in near]
+        best = sorted(like, key=lambda p: (p[1] is None, -(p[1] or 0), p[0]))[:60]
+        want |= {(i, k, s, n) for n, (k, s) in enumerate(best, 1)}
+    found = vector.ivf_probe(q, centroids, v, 60, probes=2).select("query_id", "chunk_id", "similarity", "rank")
+    assert {(r[0], r[1], r[2] if r[2] is None else r[2] + 0.0, r[3]) for r in found.collect()} == {(a, b, s if s is None else s + 0.0, n) for a, b, s, n in want}
+    assert "_best" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) or "best(" in plan  # no row for each pair
