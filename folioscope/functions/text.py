@@ -202,26 +202,30 @@ def chunk_semantic(text: str | None, size: int = 900, overlap: int = 120, percen
 
 
 def _chunked(split: Callable[[str | None], list[str]]):
-    """For mapInArrow over (doc_id, text): (doc_id, chunk_index, text) of texts of about AT_ONCE characters at a time, so that a
-    batch of long texts and its chunks are never held whole as Python strings."""
+    """For mapInArrow over (doc_id, text, ...): (doc_id, chunk_index, text, ...) of texts of about AT_ONCE characters at a time, so
+    that a batch of long texts and its chunks are never held whole as Python strings. Further columns stand at each chunk."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = ["doc_id", "chunk_index", "text", *batch.schema.names[2:]]
             rows, held = ([], [], []), 0
             for n in range(batch.num_rows):
-                doc, said = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                said = batch.column(1)[n].as_py()
                 found = split(said)
-                for column, values in zip(rows, ([doc] * len(found), range(len(found)), found)):
+                for column, values in zip(rows, ([n] * len(found), range(len(found)), found)):
                     column.extend(values)
                 held += len(said or "")
                 if held >= AT_ONCE or n + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int32(), pa.string()))], ["doc_id", "chunk_index", "text"])
+                    of, index, texts = (pa.array(x, kind) for x, kind in zip(rows, (pa.int64(), pa.int32(), pa.string())))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), index, texts, *[c.take(of) for c in batch.columns[2:]]], names)
                     rows, held = ([], [], []), 0
 
     return run
 
 
-def chunks(docs: DataFrame, strategy: str = "sentence", size: int = 900, overlap: int = 120, encoder: Callable = hashed_encoder, **options) -> DataFrame:
-    """(doc_id, chunk_index, text) of each document's chunks, by the sentence or the semantic strategy."""
+def chunks(docs: DataFrame, strategy: str = "sentence", size: int = 900, overlap: int = 120, encoder: Callable = hashed_encoder, carried: Iterable[str] = (), **options) -> DataFrame:
+    """(doc_id, chunk_index, text) of each document's chunks, by the sentence or the semantic strategy; carried: columns of docs
+    that its chunks bear too, so that nothing need be joined to them."""
     split = (lambda t: chunk_semantic(t, size, overlap, encoder=encoder, **options)) if strategy in ("semantic", "embedding", "semantic_percentile") else (lambda t: chunk_document(t, size, overlap))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunked(split), "doc_id long, chunk_index int, text string")
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInArrow(_chunked(split), "doc_id long, chunk_index int, text string" + more)

@@ -12,6 +12,18 @@ def same_mtime(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= MTIME_TOLERANCE
 
 
+def upsert_action() -> Column:
+    """The action for a file on disk (mtime, fsize, sha256, profile, ext, chars) beside what is stored of it (old_mtime,
+    old_fsize, old_sha256, old_profile, old_n_chunks; null if nothing is)."""
+    usable = F.coalesce((F.coalesce("old_profile", F.lit("sentence")) == F.col("profile")) & (F.coalesce("old_n_chunks", F.lit(0)) > 0), F.lit(False))
+    unchanged = (F.coalesce("old_fsize", F.lit(-1)) == F.col("fsize")) & same_mtime(F.col("mtime"), F.col("old_mtime"))
+    known = F.col("old_profile").isNotNull() | F.col("old_sha256").isNotNull() | F.col("old_mtime").isNotNull()
+    blank = (F.col("chars") == 0) & F.col("ext").isin(".pdf", ".epub")
+    return (F.when(known & usable & F.coalesce(unchanged, F.lit(False)), "SKIP")
+            .when(known & usable & F.coalesce(F.col("old_sha256") == F.col("sha256"), F.lit(False)), "TOUCH")
+            .when(blank, "ERROR").when(known, "REPLACE").otherwise("INSERT"))
+
+
 def upsert_actions(disk: DataFrame, stored: DataFrame) -> DataFrame:
     """(path, action) for files on disk (path, mtime, fsize, sha256, profile, ext, chars) against stored documents
     (path, mtime, fsize, sha256, profile, n_chunks): SKIP, TOUCH, REPLACE, INSERT or ERROR.
@@ -19,15 +31,7 @@ def upsert_actions(disk: DataFrame, stored: DataFrame) -> DataFrame:
     A file is skipped by size, time, profile and chunks, touched if only its time changed, and in error if it is
     a PDF or e-book without text that must be read."""
     old = stored.select("path", *[F.col(c).alias(f"old_{c}") for c in ("mtime", "fsize", "sha256", "profile", "n_chunks")])
-    both = disk.join(old, "path", "left")
-    usable = F.coalesce((F.coalesce("old_profile", F.lit("sentence")) == F.col("profile")) & (F.coalesce("old_n_chunks", F.lit(0)) > 0), F.lit(False))
-    unchanged = (F.coalesce("old_fsize", F.lit(-1)) == F.col("fsize")) & same_mtime(F.col("mtime"), F.col("old_mtime"))
-    known = F.col("old_profile").isNotNull() | F.col("old_sha256").isNotNull() | F.col("old_mtime").isNotNull()
-    blank = (F.col("chars") == 0) & F.col("ext").isin(".pdf", ".epub")
-    action = (F.when(known & usable & F.coalesce(unchanged, F.lit(False)), "SKIP")
-              .when(known & usable & F.coalesce(F.col("old_sha256") == F.col("sha256"), F.lit(False)), "TOUCH")
-              .when(blank, "ERROR").when(known, "REPLACE").otherwise("INSERT"))
-    return both.select("path", action.alias("action"))
+    return disk.join(old, "path", "left").select("path", upsert_action().alias("action"))
 
 
 def purge_missing(stored: DataFrame, disk: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ its marker comes last, so a job that is lost on the way leaves the version befor
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,11 @@ from folioscope.config import RetrievalConfig
 from folioscope.functions.text import chunks as chunked
 from folioscope.functions.text import trimmed
 from folioscope.operators import graph, ingest, lexical
-from folioscope.session import cut
+from folioscope.session import checkpoint_dir, cut, removed
 from folioscope.sources import files as sources
 
 DOCUMENTS = "doc_id long, path string, title string, ext string, mtime double, fsize long, sha256 string, profile string, n_chunks long"
+FILES = "path string, ext string, mtime double, fsize long, sha256 string, title string, text string, error string"
 CHUNKS = "chunk_id long, doc_id long, path string, title string, chunk_index int, text string, meta_json string"
 EDGES = "src long, dst long, rel string, weight double"
 REPORT = "path string, action string, n_chunks long, error string"
@@ -109,11 +111,46 @@ def _few(ids: DataFrame, column: str) -> Column:
     return F.col(column).isin(some) if len(some) <= LISTED else F.lit(True)
 
 
-def _counts(postings: DataFrame, lengths: DataFrame, gone: DataFrame, span_chars: int) -> tuple[DataFrame, DataFrame]:
-    """By how much the counts change: new postings and lengths, less those of the chunks that went (chunk_id, text)."""
+def _place() -> list[Column]:
+    """Where a row of a Parquet table stands: its file and its number there."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+
+
+def _marks(places: DataFrame) -> DataFrame:
+    """The places (_file, _row) as a bit for each row: 4 KB for up to 32,768 rows of a file."""
+    at = F.col("_row") + 1  # their buckets begin at 1
+    return cut(places.groupBy("_file", F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")))
+
+
+def _marked(table: DataFrame, marks: DataFrame) -> DataFrame:
+    """The marked rows of a Parquet table. The marks are broadcast, so texts aren't shuffled, however many rows there are."""
+    at = F.bitmap_bit_position(F.col("_row") + 1)
+    rows = table.select("*", *_place()).withColumn("_bucket", F.bitmap_bucket_number(F.col("_row") + 1))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(marks), ["_file", "_bucket"]).where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*table.columns)
+
+
+def _dead(held: Segments, gone: DataFrame) -> DataFrame:
+    """(home, chunk_id, text) of the chunks of documents that went (doc_id, home)."""
+    if not held.names:
+        return held.raw("chunks").select(F.col("segment").alias("home"), "chunk_id", "text")
+    home = F.regexp_extract(F.col("_metadata.file_path"), "segment-([^/]+)/chunks/[^/]+$", 1)
+    chunks = held.spark.read.schema(CHUNKS).parquet(*[f"{held.root}/segment-{n}/chunks" for n, _ in held.names]).where(_few(gone, "doc_id"))
+    places = chunks.select("doc_id", home.alias("home"), *_place()).join(gone, ["doc_id", "home"], "left_semi")
+    return _marked(chunks.select("*", home.alias("home")), _marks(places)).select("home", "chunk_id", "text")
+
+
+def _aside(df: DataFrame, path: str) -> DataFrame:
+    """The rows of df, kept as Parquet until a version is done, so that what reads no text needn't."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _counts(postings: DataFrame, lengths: DataFrame, gone: DataFrame, gone_lengths: DataFrame, span_chars: int) -> tuple[DataFrame, DataFrame]:
+    """By how much the counts change: new postings and lengths, less those of the chunks that went (chunk_id, text; dl)."""
     old = lexical.build_index(gone, span_chars)
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).unionByName(old.postings.groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).unionByName(old.lengths.agg((-F.count(F.lit(1))).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("tokens")))
+    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).unionByName(gone_lengths.agg((-F.count(F.lit(1))).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("tokens")))
     return terms.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), totals.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
 
 
@@ -132,52 +169,59 @@ def reconcile(spark: SparkSession, root: str, files: DataFrame, profile: str = "
     among files go; a batch of new files alone is reconciled with full=False. Of repeated paths the newest file counts.
     With config.graph the edges of new chunks are written; their keywords are weighed by the counts of that moment."""
     held = segments(spark, root)
-    old = cut(held.documents())
-    files = cut(files.groupBy("path").agg(F.max_by(F.struct(*[c for c in files.columns if c != "path"]), "mtime").alias("f")).select("path", "f.*"))
-    disk = files.withColumns({"profile": F.lit(profile), "chars": F.coalesce(F.length(trimmed(F.col("text"))), F.lit(0))})
-    readable = disk.where("error IS NULL")
-    actions = ingest.upsert_actions(readable, old).join(readable.select("path"), "path")
-    blank = F.when(F.col("action") == "ERROR", F.concat(F.lit("no text in "), "path"))
-    actions = cut(actions.select("path", "action", blank.alias("error")).unionByName(disk.where("error IS NOT NULL").select("path", F.lit("ERROR").alias("action"), "error")))
-
-    purged = old.join(files.select("path"), "path", "left_anti") if full else old.limit(0)
-    fresh_files = readable.join(actions.where("action IN ('REPLACE', 'INSERT')").select("path"), "path", "left_semi").withColumn("doc_id", F.xxhash64("path"))
-    touched = old.join(disk.select("path", F.col("mtime").alias("now")), "path").join(actions.where("action = 'TOUCH'").select("path"), "path", "left_semi").withColumn("mtime", F.col("now")).drop("now")
-    gone = cut(old.join(fresh_files.select("path"), "path", "left_semi").unionByName(purged).select("doc_id", "home"))
+    aside = f"{checkpoint_dir(spark).rstrip('/')}/reconcile-{uuid.uuid4().hex}"
+    given = files.select(*[F.col(n).cast(t).alias(n) for n, t in map(str.split, FILES.split(", "))]).withColumns({"profile": F.lit(profile), "chars": F.coalesce(F.length(trimmed(F.col("text"))), F.lit(0))})
+    files = _aside(given, f"{aside}/files")
+    told = [c for c in files.columns if c not in ("path", "text")]
+    newest = files.select("path", *told, *_place()).groupBy("path").agg(F.max_by(F.struct(*told, "_file", "_row"), F.struct("mtime", "sha256")).alias("f"))
+    disk = newest.select("path", "f.*", F.lit(True).alias("found")).where("path IS NOT NULL OR error IS NOT NULL")
+    known = [x.split()[0] for x in DOCUMENTS.split(", ") if not x.startswith("path ")]
+    old = held.documents().select("path", *[F.col(c).alias(f"old_{c}") for c in [*known, "home"]])
+    action = F.when(F.col("found").isNull(), "PURGE").when(F.col("error").isNotNull(), "ERROR").otherwise(ingest.upsert_action())
+    decided = _aside(disk.join(old, "path", "full" if full else "left").withColumn("action", action), f"{aside}/actions")
 
     version, name = held.version + 1, str(held.version + 1)
-    parts = chunked(fresh_files, profile, config.chunk_chars, config.chunk_overlap).join(fresh_files.select("doc_id", "path", "title", "ext", "sha256"), "doc_id")
+    fresh_files = decided.where("action IN ('REPLACE', 'INSERT')")
+    gone = decided.where("action IN ('REPLACE', 'INSERT', 'PURGE') AND old_doc_id IS NOT NULL").select(F.col("old_doc_id").alias("doc_id"), F.col("old_home").alias("home"))
+    texts = _marked(files, _marks(fresh_files.select("_file", "_row"))).withColumn("doc_id", F.xxhash64("path"))
+    parts = chunked(texts, profile, config.chunk_chars, config.chunk_overlap, carried=("path", "title", "ext", "sha256"))
     meta = ingest.metadata_json(F.col("title"), F.col("path"), F.col("ext"))
     parts = parts.select(F.xxhash64("path", "sha256", "chunk_index").alias("chunk_id"), "doc_id", "path", "title", "chunk_index", "text", meta.alias("meta_json"))
-    _write(parts, root, name, "chunks", "doc_id", "chunk_index")
+    _write(parts.sortWithinPartitions("doc_id", "chunk_index"), root, name, "chunks")
     fresh = spark.read.schema(CHUNKS).parquet(f"{root}/segment-{name}/chunks")
-    dead = held.raw("chunks").where(_few(gone, "doc_id")).join(gone.withColumnRenamed("home", "segment"), ["doc_id", "segment"]).select(F.col("segment").alias("home"), "chunk_id", "text")
-    dead = cut(dead)
+    dead = _dead(held, gone)
     _write(dead, root, name, "dead")
+    dead_ids = spark.read.schema(TABLES["dead"]).parquet(f"{root}/segment-{name}/dead")
 
-    counted = fresh.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    new = fresh_files.join(counted, "doc_id", "left").withColumns({"n_chunks": F.coalesce("n_chunks", F.lit(0)).cast("long"), "home": F.lit(name)})
-    names = [*(x.split()[0] for x in DOCUMENTS.split(", ")), "home"]
-    rows = new.select(*names).unionByName(touched.select(*names)).withColumn("gone", F.lit(False)).unionByName(purged.select(*names).withColumn("gone", F.lit(True)))
-    _write(rows, root, name, "documents")
+    counted = fresh.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    n_chunks = F.when(F.col("action").isin("REPLACE", "INSERT"), F.coalesce("n", F.lit(0)).cast("long")).otherwise(F.col("old_n_chunks"))
+    now = decided.withColumn("doc_id", F.xxhash64("path")).join(counted, "doc_id", "left").withColumn("n_chunks", n_chunks)
+    new = now.where("action IN ('REPLACE', 'INSERT')").withColumns({"home": F.lit(name), "gone": F.lit(False)})
+    kept = now.where("action IN ('TOUCH', 'PURGE')").withColumn("old_mtime", F.when(F.col("action") == "TOUCH", F.col("mtime")).otherwise(F.col("old_mtime")))
+    kept = kept.select("path", *[F.col(f"old_{c}").alias(c) for c in [*known, "home"]], (F.col("action") == "PURGE").alias("gone"))
+    _write(new.select(*kept.columns).unionByName(kept), root, name, "documents")
 
     index = lexical.build_index(fresh, config.search_span_chars)
     lexical.write_postings(index, f"{root}/segment-{name}")
     read = lambda t: spark.read.schema(TABLES[t]).parquet(f"{root}/segment-{name}/{t}")
-    terms, totals = _counts(read("postings"), read("lengths"), dead.select("chunk_id", "text"), config.search_span_chars)
+    dead_lengths = held.raw("lengths").join(dead_ids.withColumnRenamed("home", "segment"), ["segment", "chunk_id"], "left_semi")
+    terms, totals = _counts(read("postings"), read("lengths"), dead.select("chunk_id", "text"), dead_lengths, config.search_span_chars)
     _write(terms, root, name, "frequencies", "term")
     _write(totals.coalesce(1), root, name, "totals")
-    n_new, n_dead, n_rows = fresh.count(), dead.count(), read("documents").count()
+    n_new, n_dead, n_rows = fresh.count(), dead_ids.count(), read("documents").count()
     after = replace(held, version=version, names=(*held.names, (name, n_new)) if n_rows else held.names, dead=held.dead or n_dead > 0)
     if config.graph:
-        sums = after.raw("frequencies").groupBy("term").agg(F.sum("df").alias("df"))
+        sums = after.raw("frequencies").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         tagged = graph.tags_of(read("postings"), sums, after.raw("totals").agg(F.sum("n").alias("n")))
         edges = graph.merged_edges(graph.adjacent_edges(fresh), graph.keyword_edges(fresh, tagged))
     else:
         edges = spark.createDataFrame([], EDGES)
     _write(edges, root, name, "edges")
-    report = actions.unionByName(purged.select("path", F.lit("PURGE").alias("action"), F.lit(None).cast("string").alias("error"))).join(after.documents().select("path", "n_chunks"), "path", "left")
-    return _finished(_merged(after), report)
+    blank = F.when(F.col("action") == "ERROR", F.coalesce("error", F.concat(F.lit("no text in "), "path")))
+    report = now.select("path", "action", F.when(F.col("action") != "PURGE", F.col("n_chunks")).alias("n_chunks"), blank.alias("error"))
+    out = _finished(_merged(after), report)
+    removed(spark, aside)
+    return out
 
 
 def _merged(held: Segments) -> Segments:

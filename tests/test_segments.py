@@ -98,3 +98,49 @@ def test_a_refresh_reads_only_what_changed(spark, tmp_path, name):
     (folder / "two.txt").unlink()
     assert get() == {name: "SKIP", "two.txt": "PURGE", "three.txt": "REPLACE"}
     assert {r["title"] for r in reconcile.library(spark, root)["documents"].collect()} == {name[:-4], "three"}
+
+
+def shuffled(spark):
+    """Bytes that were shuffled so far."""
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    rng, root = random.Random(5), str(tmp_path / "lib")
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(500)]
+    held = {f"p{i:02}": (1.0, " ".join(rng.choices(words, k=3000)) + ".") for i in range(60)}
+    later = {p: (m, t) if i % 3 else (9.0, t[::-1]) for i, (p, (m, t)) in enumerate(held.items()) if i % 5}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were many files
+    try:
+        for batch in (held, later):
+            stored = str(tmp_path / f"files{len(batch)}")
+            parsed(spark, batch).withColumn("sha256", F.md5("text")).write.parquet(stored)
+            before = shuffled(spark)
+            got = reconcile.reconcile(spark, root, spark.read.parquet(stored)).groupBy("action").count().collect()
+            assert shuffled(spark) - before < sum(len(t) for _, t in batch.values()) / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["action"]: r["count"] for r in got} == {"SKIP": 32, "REPLACE": 16, "PURGE": 12}
+    assert {r["path"]: r["mtime"] for r in reconcile.library(spark, root)["documents"].collect()} == {p: m for p, (m, _) in later.items()}
+    index, whole = reconcile.library_index(spark, root), lexical.build_index(reconcile.library(spark, root)["chunks"])
+    assert rows(index.frequencies) == rows(whole.frequencies) and rows(index.totals) == rows(whole.totals) and rows(index.lengths) == rows(whole.lengths)
+
+
+def test_marked_rows_are_those_and_no_others(spark, tmp_path):
+    spark.range(70_000).selectExpr("id", "concat('t', id) AS text").repartition(2).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for some in ("id % 7 = 0", "id < 3", "id >= 0", "id < 0"):
+        marks = reconcile._marks(table.where(some).select(*reconcile._place()))
+        got = reconcile._marked(table, marks)
+        told = lambda t: rows(t.agg(F.count("id"), F.bit_xor(F.xxhash64("id", "text"))))
+        assert told(got) == told(table.where(some))
+
+
+def test_of_a_repeated_path_the_newest_file_counts(spark, tmp_path):
+    root = str(tmp_path / "lib")
+    twice = [("a", 1.0, "old words."), ("a", 5.0, "new words."), ("b", None, "no time."), ("b", None, "no time."), ("c", None, "without."), ("c", 2.0, "with.")]
+    files = spark.createDataFrame([(p, ".txt", m, len(t), t, p, t, None) for p, m, t in twice], FILE)
+    assert {r["path"]: (r["action"], r["n_chunks"]) for r in reconcile.reconcile(spark, root, files).collect()} == {p: ("INSERT", 1) for p in "abc"}
+    assert {r["path"]: r["text"] for r in reconcile.library(spark, root)["chunks"].collect()} == {"a": "new words.", "b": "no time.", "c": "with."}
