@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.config import RetrievalConfig
-from folioscope.functions.analysis import fast_terms
+from folioscope.functions.analysis import fast_terms, query_terms
 from folioscope.operators import blocks, cache, clusters, evaluate, fusion, graph, ingest, lexical, quantile, substring, vector
 from folioscope.plans import retrieve
 from folioscope.plans.registry import Corpus, query
@@ -30,8 +30,10 @@ def bm25_topk(c: Corpus) -> DataFrame:
 
 @query(base() + f" SELECT query_id, chunk_id, bm25, bm25_rank FROM pool WHERE bm25_rank <= {TOP}")
 def bm25_bounded(c: Corpus) -> DataFrame:
-    """bm25_topk from blocks that may hold one of the best chunks."""
-    return blocks.bm25_best(c.index, c.blocks, c.terms, TOP)
+    """bm25_topk from blocks that may hold one of the best chunks; the index with positions is for phrases only."""
+    held = c.blocks
+    terms = cut(query_terms(c.questions, held.frequencies, held.totals))
+    return blocks.bm25_best(held, held.blocks, terms, TOP, whole=lambda: c.index)
 
 
 @query(base() + thinned("rr", TOP) + " SELECT query_id, chunk_id, path, rank, rr FROM final")

@@ -69,9 +69,9 @@ class Corpus:
         return self.stored("postings", "documents", lambda docs: lexical.stored(lexical.build_index(docs.select(F.col("doc_id").alias("chunk_id"), "text"))))
 
     @cached_property
-    def blocks(self) -> DataFrame:
-        """The index in blocks of chunks with their bounds."""
-        return self.stored("blocks", "documents", lambda _: blocks.stored(blocks.build(self.index)))
+    def blocks(self) -> blocks.BlockIndex:
+        """The texts' counts in blocks of chunks, without positions."""
+        return self.stored("blocks", "documents", lambda docs: blocks.stored_texts(docs.select(F.col("doc_id").alias("chunk_id"), "text")))
 
     @cached_property
     def grams(self) -> substring.GramIndex:

@@ -54,3 +54,59 @@ def test_an_empty_index_finds_nothing(spark):
     index = lexical.stored(lexical.build_index(spark.createDataFrame([], "chunk_id long, text string")))
     held = blocks.stored(blocks.build(index))
     assert blocks.bm25_best(index, held, spark.createDataFrame([(1, 0, "a")], TERMS), 3).collect() == []
+
+
+def test_blocks_of_texts_are_those_of_their_index(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(f"c{i:04}", " ".join(rng.choices([f"w{j}" for j in range(90)], [1 / (j + 1) for j in range(90)], k=rng.randint(0, 40)))) for i in range(400)]
+    rows += [("d1", ""), ("d2", None), (None, "w1 w80 w80"), ("e", "w3 " * 900)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string").repartition(3)
+    index, held = lexical.stored(lexical.build_index(chunks)), blocks.stored_texts(chunks, block=5)
+    assert {tuple(r) for r in held.frequencies.collect()} == {tuple(r) for r in index.frequencies.collect()}
+    assert [tuple(r) for r in held.totals.collect()] == [tuple(r) for r in index.totals.select("n", "avgdl").collect()]
+    assert held.blocks.agg(F.max("n"), F.sum("n")).first() == (5, index.postings.count())
+    asked = [(q, p, f"w{rng.randint(0, 89)}") for q in range(30) for p in range(rng.randint(1, 6))] + [(40, 0, "w1 w0"), (40, 1, "w2"), (None, 0, "w80")]
+    terms = spark.createDataFrame(asked, TERMS)
+    for dealt in (blocks.DEALT, 40):  # one task and many
+        monkeypatch.setattr(blocks, "DEALT", dealt)
+        for k in (1, 6, 900):
+            assert {tuple(r) for r in blocks.bm25_best(held, held.blocks, terms, k, whole=lambda: index).collect()} == want(index, terms, k)
+
+
+def test_rows_of_one_id_score_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from folioscope.plans.registry import ORACLE_SQL, QUERIES
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choices([f"w{j}" for j in range(60)], [1 / (j + 1) for j in range(60)], k=n))
+    docs = [(i if i % 7 else 14, text(rng.randint(1, 50)), "en", f"s{i % 3}") for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, text(9)) for i in range(20)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {tuple(r) for r in QUERIES["bm25_bounded"](spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(ORACLE_SQL["bm25_bounded"]).fetchall()) and any(r[1] == 14 for r in got)
+
+
+def test_a_corpus_is_neither_shuffled_nor_stored_with_positions(spark, tmp_path):
+    from folioscope.plans import registry
+    from test_segments import shuffled
+
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(5000)]
+    docs = [(i, " ".join(rng.choices(words, k=1000)), "en", "s") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, " ".join(rng.choices(words, k=20))) for i in range(30)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = shuffled(spark)
+    assert registry.QUERIES["bm25_bounded"](spark, str(tmp_path)).count() == 300
+    assert shuffled(spark) - before < sum(len(d[1]) for d in docs)  # the batch has more than 200 terms, so blocks of all terms are read
+    assert not [k for k in registry._STORED if k[1] == str(tmp_path) and k[2] == "postings"]
+
+
+def test_no_texts_have_no_blocks(spark):
+    held = blocks.stored_texts(spark.createDataFrame([], "chunk_id long, text string"))
+    assert blocks.bm25_best(held, held.blocks, spark.createDataFrame([(1, 0, "a")], TERMS), 3).collect() == []
+    held = blocks.stored_texts(spark.createDataFrame([(1, ""), (2, None)], "chunk_id long, text string"))
+    assert blocks.bm25_best(held, held.blocks, spark.createDataFrame([(1, 0, "a")], TERMS), 3).collect() == []
